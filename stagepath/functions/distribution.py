@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 Stat = float | str | Callable[[Column], Column]
 
-# Buckets per doubling of the value. A double spans about 2,100 doublings on
-# either side of zero, so there are at most 2 * 2,100 * 64 buckets.
-_PER_DOUBLING = 64
+# Buckets per doubling of the value: each covers 0.017 % of it, so even a value
+# that never repeats spreads over thousands of buckets. A double spans about
+# 2,100 doublings on either side of zero, which bounds their number.
+_PER_DOUBLING = 4_096
 _SMALLEST = 1_100 * _PER_DOUBLING
 _BEYOND = 10 * _SMALLEST
 

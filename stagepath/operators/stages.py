@@ -95,25 +95,31 @@ def pair_bounds(
     # A NULL product is a pair of its own, but its later events match nothing.
     has_keys = F.col("product_id").isNotNull()
 
-    aggregates = [
-        F.bool_or(is_first).alias("_viewed"),
-        F.min(_time_if(is_first)).alias(funnel.reached(funnel.first)),
-    ]
+    first_view = funnel.reached(funnel.first)
+    if attributes:
+        key = F.when(is_first, _first_view_key(list(attributes)))
+        aggregates = [F.min(key).alias("_first")]
+        viewed, first_time = F.col("_first").isNotNull(), F.col(f"_first.{TIME}")
+    else:
+        # Only fixed-width state is left, which Spark aggregates by hashing.
+        aggregates = [
+            F.bool_or(is_first).alias("_viewed"),
+            F.min(_time_if(is_first)).alias("_first_time"),
+        ]
+        viewed, first_time = F.col("_viewed"), F.col("_first_time")
     for stage in funnel.later:
         time = _time_if((F.col("event_type") == stage) & has_keys)
         aggregates += [F.min(time).alias(f"_{stage}_min"), F.max(time).alias(f"_{stage}_max")]
-    if attributes:
-        key = F.when(is_first, _first_view_key(list(attributes)))
-        aggregates.append(F.min(key).alias("_first"))
 
     pairs = (
         ev.where(F.col("event_type").isin(*funnel.stages) & in_session())
         .groupBy(*funnel.keys)
         .agg(*aggregates)
-        .where("_viewed")
+        .where(viewed)
+        .withColumn(first_view, first_time)
     )
 
-    prev = F.col(funnel.reached(funnel.first))
+    prev = F.col(first_view)
     reached, is_open = [prev], F.lit(False)
     for stage in funnel.later:
         low, high = F.col(f"_{stage}_min"), F.col(f"_{stage}_max")

@@ -12,7 +12,7 @@ from stagepath.functions.numeric import round_at
 from stagepath.model import FUNNEL
 from stagepath.operators import conversion, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
-from stagepath.sources import event_log
+from stagepath.sources import event_log, event_table
 from stagepath.sources.event_table import canonical_events, week
 from stagepath.staging import Staging
 
@@ -22,21 +22,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATEGORY_A = "cat.3"
 CATEGORY_B = "cat.7"
 
-_marts: dict[tuple[str, str], DataFrame] = {}
+_marts: dict[tuple[str, str], tuple[int, DataFrame]] = {}
 _building = threading.Lock()
 
 
 def stored_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched mart of `sf_dir`, written on first use in a session.
+    """The enriched mart of `sf_dir`, written on first use in a session and
+    again when the table under it has changed.
 
     It exists so that analyses need not go back to the log.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     with _building:
-        mart = _marts.get(key)
-        if mart is None or mart.sparkSession is not spark:
-            mart = mart_plan.build_enriched_mart(canonical_events(spark, sf_dir), Staging(spark))
-            _marts[key] = mart
+        version = event_table.version(spark, sf_dir)
+        known, mart = _marts.get(key, (None, None))
+        if mart is None or known != version or mart.sparkSession is not spark:
+            ev = canonical_events(spark, sf_dir)
+            mart = mart_plan.build_enriched_mart(ev, Staging(spark))
+            _marts[key] = (version, mart)
         return mart
 
 

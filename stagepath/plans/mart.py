@@ -58,3 +58,9 @@ def build_enriched_mart(
     return stages.with_flags(pairs, funnel).select(
         *stages.mart_columns(funnel), *attributes.values()
     )
+
+
+def write_mart(mart: DataFrame, path: str) -> DataFrame:
+    """Stores the mart as Parquet in place of any earlier one, and reads it back."""
+    mart.write.mode("overwrite").parquet(path)
+    return mart.sparkSession.read.schema(mart.schema).parquet(path)

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from stagepath.model import EVENT_SCHEMA
 
 
+def _path(sf_dir: str) -> str:
+    return f"{sf_dir}/events.parquet"
+
+
+def version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes when files of the `events` table do. Only the file
+    listing is read."""
+    files = spark.read.format("binaryFile").load(_path(sf_dir))
+    stamp = F.xxhash64("path", "modificationTime", "length")
+    return files.agg(F.bit_xor(stamp)).first()[0]
+
+
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `events` table in the event model.
 
@@ -16,7 +28,7 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     of very different depth.
     """
     k = F.get_json_object("props", "$.k").cast("long")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    raw = spark.read.parquet(_path(sf_dir)).select(
         "event_id",
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("event_time"),
         "event_type",

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from stagepath.plans import catalog
 from tests.conftest import TESTDATA, duckdb_tables
 
 QUERIES = entry_points.queries()
@@ -48,3 +49,16 @@ def test_entry_runs(spark):
 def test_funnel_counts_at_every_scale(spark, scale, expected):
     row = QUERIES["funnel_totals"](spark, f"{TESTDATA}/sf{scale}").first()
     assert (row.view_count, row.cart_count, row.purchase_count) == expected
+
+
+def test_stored_mart_follows_its_table(spark, tmp_path):
+    """The mart is reused while the events stay the same, and only then."""
+    events = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    path = f"{tmp_path}/events.parquet"
+    totals = QUERIES["funnel_totals"]
+    events.where("event_id < 500").write.parquet(path)
+    small = totals(spark, str(tmp_path)).first()
+    stored = catalog.stored_mart(spark, str(tmp_path))
+    assert catalog.stored_mart(spark, str(tmp_path)) is stored
+    events.write.mode("overwrite").parquet(path)
+    assert small.view_count < totals(spark, str(tmp_path)).first().view_count == 494

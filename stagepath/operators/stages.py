@@ -56,6 +56,18 @@ def next_stage(
     )
 
 
+def later_events(pairs: DataFrame, ev: DataFrame, funnel: Funnel = FUNNEL) -> DataFrame:
+    """The events of the later stages of the given pairs, from their first view on."""
+    start = funnel.reached(funnel.first)
+    return (
+        ev.where(F.col("event_type").isin(*funnel.later))
+        .select(*funnel.keys, "event_type", TIME)
+        .join(pairs.select(*funnel.keys, start), list(funnel.keys))
+        .where(F.col(TIME) >= F.col(start))
+        .drop(start)
+    )
+
+
 def _first_view_key(attributes: Sequence[str]) -> Column:
     # Ordered as: known times first, then by time, then by event_id. The
     # attributes ride behind the key, so a NULL attribute is kept as it is.

@@ -17,11 +17,11 @@ def ordered_stages(
 ) -> DataFrame:
     """One row per viewed pair with the time at which it reached each stage.
 
-    One pass over the log decides nearly every pair. Only pairs whose events of
-    a stage lie on both sides of the stage before go back to the log, and only
-    to its events of the later stages. The first pass is written once, split by
-    `open`: the small part then has a known size, so Spark broadcasts it when it
-    fits and shuffles it when it does not.
+    One pass over the log decides nearly every pair. Pairs whose events of a
+    stage lie on both sides of the stage before go back to the log once, for
+    their events of the later stages, and are followed stage by stage in those.
+    The first pass is written split by `open`: the small part then has a known
+    size, so Spark broadcasts it when it fits and shuffles it when it does not.
     """
     bounds = staging.save(
         stages.pair_bounds(ev, funnel, attributes), "pair-bounds", partition_by="open"
@@ -32,10 +32,11 @@ def ordered_stages(
         return decided
 
     later = [funnel.reached(stage) for stage in funnel.later]
+    events = staging.save(stages.later_events(pending, ev, funnel), "pending-events")
     resolved, after = pending.drop("open", *later), funnel.reached(funnel.first)
     for stage in funnel.later:
         resolved = staging.save(
-            stages.next_stage(resolved, ev, stage, after, funnel), f"resolved-{stage}"
+            stages.next_stage(resolved, events, stage, after, funnel), f"resolved-{stage}"
         )
         after = funnel.reached(stage)
     return decided.unionByName(resolved)

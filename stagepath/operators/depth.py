@@ -1,8 +1,10 @@
 """Session depth: how many products a session viewed, and what followed.
 
-Every analysis starts from one row per session. The depth of a session is the
-number of its mart rows, so pairs, carts and purchases can be added up in the
-same aggregation, and nothing is joined back to the pairs.
+Every analysis starts from one row per session, as `sessions` gives it. The
+depth of a session is the number of its mart rows, so pairs, carts and purchases
+can be added up in the same aggregation, and nothing is joined back to the
+pairs. Stored once, the sessions serve all analyses without another shuffle of
+the mart.
 """
 
 from __future__ import annotations
@@ -49,9 +51,9 @@ def _summed(*columns: str) -> list[Column]:
     return [F.sum(c).alias(c) for c in columns]
 
 
-def session_depth_distribution(mart: DataFrame) -> DataFrame:
+def session_depth_distribution(per_session: DataFrame) -> DataFrame:
     spread = distribution(
-        sessions(mart),
+        per_session,
         "viewed_products",
         {
             "sessions": "count",
@@ -67,8 +69,8 @@ def session_depth_distribution(mart: DataFrame) -> DataFrame:
     return spread.withColumn("max_products", F.col("max_products").cast("long"))
 
 
-def depth_band_conversion(mart: DataFrame) -> DataFrame:
-    bands = _by_depth(sessions(mart), F.count("*").alias("session_count"), *_summed(*COUNTS))
+def depth_band_conversion(per_session: DataFrame) -> DataFrame:
+    bands = _by_depth(per_session, F.count("*").alias("session_count"), *_summed(*COUNTS))
     return with_rates(bands).drop("cart_count", "purchase_count")
 
 
@@ -79,29 +81,29 @@ def category_depth_conversion(em: DataFrame, category: str) -> DataFrame:
     return with_rates(_by_depth(chosen, *_summed(*COUNTS))).drop("cart_count", "purchase_count")
 
 
-def depth_cart_crosstab(mart: DataFrame) -> DataFrame:
+def depth_cart_crosstab(per_session: DataFrame) -> DataFrame:
     """Pairs with and without a cart, by depth of their session."""
     return _by_depth(
-        sessions(mart),
+        per_session,
         F.sum("cart_count").alias("cart_yes"),
         F.sum(F.col("view_count") - F.col("cart_count")).alias("cart_no"),
     )
 
 
-def session_depth_any_cart(mart: DataFrame) -> DataFrame:
+def session_depth_any_cart(per_session: DataFrame) -> DataFrame:
     """Sessions with and without any cart, by depth."""
     any_cart = F.col("cart_count") > 0
     bands = _by_depth(
-        sessions(mart), F.count_if(any_cart).alias("cart_yes"), F.count_if(~any_cart).alias("cart_no")
+        per_session, F.count_if(any_cart).alias("cart_yes"), F.count_if(~any_cart).alias("cart_no")
     )
     return bands.withColumn(
         "cart_rate", percent(F.col("cart_yes"), F.col("cart_yes") + F.col("cart_no"))
     )
 
 
-def depth_cart_rate(mart: DataFrame) -> DataFrame:
+def depth_cart_rate(per_session: DataFrame) -> DataFrame:
     """Mean and median over sessions of the share of viewed products carted."""
-    rates = sessions(mart).select(
+    rates = per_session.select(
         depth_band(F.col("viewed_products")).alias(GROUP),
         share(F.col("cart_count"), F.col("view_count")).alias("rate"),
     )
@@ -116,10 +118,10 @@ def depth_cart_rate(mart: DataFrame) -> DataFrame:
     )
 
 
-def depth_purchase_rate(mart: DataFrame) -> DataFrame:
+def depth_purchase_rate(per_session: DataFrame) -> DataFrame:
     """Mean over sessions of the share of viewed products bought."""
     return _by_depth(
-        sessions(mart),
+        per_session,
         F.count("*").alias("session_count"),
         (F.avg(share(F.col("purchase_count"), F.col("view_count"))) * 100.0).alias(
             "avg_purchase_rate"
@@ -127,7 +129,7 @@ def depth_purchase_rate(mart: DataFrame) -> DataFrame:
     )
 
 
-def multi_view_baseline(mart: DataFrame, min_depth: int = 2) -> DataFrame:
+def multi_view_baseline(per_session: DataFrame, min_depth: int = 2) -> DataFrame:
     """The funnel over sessions that viewed at least `min_depth` products."""
-    deep = sessions(mart).where(F.col("viewed_products") >= min_depth)
+    deep = per_session.where(F.col("viewed_products") >= min_depth)
     return with_rates(deep.agg(*_summed(*COUNTS)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import threading
 from collections.abc import Callable
 
@@ -22,25 +23,47 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATEGORY_A = "cat.3"
 CATEGORY_B = "cat.7"
 
-_marts: dict[tuple[str, str], tuple[int, DataFrame]] = {}
+_stored: dict[tuple[str, str], _Stored] = {}
 _building = threading.Lock()
 
 
-def stored_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched mart of `sf_dir`, written on first use in a session and
-    again when the table under it has changed.
+class _Stored:
+    """The tables that analyses of one `events` table share, written on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, version: int):
+        self.spark, self.sf_dir, self.version = spark, sf_dir, version
+        self.staging = Staging(spark)
+
+    @functools.cached_property
+    def mart(self) -> DataFrame:
+        ev = canonical_events(self.spark, self.sf_dir)
+        return mart_plan.build_enriched_mart(ev, self.staging)
+
+    @functools.cached_property
+    def sessions(self) -> DataFrame:
+        return self.staging.save(depth.sessions(self.mart), "sessions")
+
 
-    It exists so that analyses need not go back to the log.
-    """
+def _tables(spark: SparkSession, sf_dir: str) -> _Stored:
     key = (spark.sparkContext.applicationId, sf_dir)
+    version = event_table.version(spark, sf_dir)
+    known = _stored.get(key)
+    if known is None or known.version != version or known.spark is not spark:
+        known = _stored[key] = _Stored(spark, sf_dir, version)
+    return known
+
+
+def stored_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched mart of `sf_dir`, so that analyses need not go back to the
+    log. It is built once per session, and again when the log has changed."""
+    with _building:
+        return _tables(spark, sf_dir).mart
+
+
+def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per session of the stored mart."""
     with _building:
-        version = event_table.version(spark, sf_dir)
-        known, mart = _marts.get(key, (None, None))
-        if mart is None or known != version or mart.sparkSession is not spark:
-            ev = canonical_events(spark, sf_dir)
-            mart = mart_plan.build_enriched_mart(ev, Staging(spark))
-            _marts[key] = (version, mart)
-        return mart
+        return _tables(spark, sf_dir).sessions
 
 
 def _comparable(frame: DataFrame) -> DataFrame:
@@ -58,6 +81,14 @@ def _on_mart(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: _comparable(operator(stored_mart(spark, sf_dir)))
 
 
+def _on_sessions(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: _comparable(operator(stored_sessions(spark, sf_dir)))
+
+
+def _on_baseline(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_sessions(lambda sessions: operator(depth.multi_view_baseline(sessions)))
+
+
 def _stages_upto(stage: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev = canonical_events(spark, sf_dir)
@@ -154,27 +185,21 @@ def queries() -> dict[str, Query]:
         ),
         "top_category_price_conversion": _on_mart(segments.top_category_price_conversion),
         # Session depth
-        "session_depth_distribution": _on_mart(depth.session_depth_distribution),
-        "depth_band_conversion": _on_mart(depth.depth_band_conversion),
+        "session_depth_distribution": _on_sessions(depth.session_depth_distribution),
+        "depth_band_conversion": _on_sessions(depth.depth_band_conversion),
         "category_depth_conversion": _on_mart(
             lambda em: depth.category_depth_conversion(em, CATEGORY_A)
         ),
-        "depth_cart_crosstab": _on_mart(depth.depth_cart_crosstab),
-        "session_depth_any_cart": _on_mart(depth.session_depth_any_cart),
-        "depth_cart_rate": _on_mart(depth.depth_cart_rate),
-        "depth_purchase_rate": _on_mart(depth.depth_purchase_rate),
-        "multi_view_baseline": _on_mart(depth.multi_view_baseline),
+        "depth_cart_crosstab": _on_sessions(depth.depth_cart_crosstab),
+        "session_depth_any_cart": _on_sessions(depth.session_depth_any_cart),
+        "depth_cart_rate": _on_sessions(depth.depth_cart_rate),
+        "depth_purchase_rate": _on_sessions(depth.depth_purchase_rate),
+        "multi_view_baseline": _on_sessions(depth.multi_view_baseline),
         # Tests and experiment planning, from the measured baseline
-        "chi_square_cramers_v": _on_mart(
-            lambda mart: experiment.chi_square(depth.depth_cart_crosstab(mart))
-        ),
-        "uplift_targets": _on_mart(
-            lambda mart: experiment.uplift_targets(depth.multi_view_baseline(mart))
-        ),
-        "sample_size_fixed": _on_mart(
-            lambda mart: experiment.sample_size_fixed(depth.multi_view_baseline(mart))
-        ),
-        "sample_size_by_uplift": _on_mart(
-            lambda mart: experiment.sample_size_by_uplift(depth.multi_view_baseline(mart))
+        "chi_square_cramers_v": _on_sessions(
+            lambda sessions: experiment.chi_square(depth.depth_cart_crosstab(sessions))
         ),
+        "uplift_targets": _on_baseline(experiment.uplift_targets),
+        "sample_size_fixed": _on_baseline(experiment.sample_size_fixed),
+        "sample_size_by_uplift": _on_baseline(experiment.sample_size_by_uplift),
     }

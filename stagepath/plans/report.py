@@ -45,12 +45,15 @@ def event_reports(ev: DataFrame) -> dict[str, DataFrame]:
 
 
 def mart_reports(
-    em: DataFrame, ev: DataFrame, categories: Sequence[str] = CATEGORIES
+    em: DataFrame,
+    sessions: DataFrame,
+    ev: DataFrame,
+    categories: Sequence[str] = CATEGORIES,
 ) -> dict[str, DataFrame]:
-    """Everything that is read off the enriched mart."""
+    """Everything that is read off the enriched mart and its sessions."""
     mart = em.select(stages.mart_columns())
-    baseline = depth.multi_view_baseline(em)
-    crosstab = depth.depth_cart_crosstab(em)
+    baseline = depth.multi_view_baseline(sessions)
+    crosstab = depth.depth_cart_crosstab(sessions)
     reports = {
         "Mart columns": conversion.mart_schema(mart),
         "Mart sample": conversion.mart_sample(mart),
@@ -70,14 +73,14 @@ def mart_reports(
     for category in categories:
         reports[f"{category} by price band"] = segments.category_price_conversion(em, category)
     reports |= {
-        "Products viewed per session": depth.session_depth_distribution(em),
-        "Conversion by depth": depth.depth_band_conversion(em),
+        "Products viewed per session": depth.session_depth_distribution(sessions),
+        "Conversion by depth": depth.depth_band_conversion(sessions),
         f"{categories[0]} by depth": depth.category_depth_conversion(em, categories[0]),
         "Pairs with a cart by depth": crosstab,
         "Independence of depth and cart": experiment.chi_square(crosstab),
-        "Sessions with a cart by depth": depth.session_depth_any_cart(em),
-        "Cart rate per session by depth": depth.depth_cart_rate(em),
-        "Purchase rate per session by depth": depth.depth_purchase_rate(em),
+        "Sessions with a cart by depth": depth.session_depth_any_cart(sessions),
+        "Cart rate per session by depth": depth.depth_cart_rate(sessions),
+        "Purchase rate per session by depth": depth.depth_purchase_rate(sessions),
         "Top categories by price band": segments.top_category_price_conversion(em),
         "Baseline of comparing sessions": baseline,
         "Targets": experiment.uplift_targets(baseline),
@@ -92,10 +95,16 @@ def run(
 ) -> dict[str, DataFrame]:
     """Ingests `month`, stores its mart, and returns all reports by title."""
     ev = ingest_events(spark, month, f"{tables}/events")
+    staging = Staging(spark)
     em = mart_plan.write_mart(
-        mart_plan.build_enriched_mart(ev, Staging(spark)), f"{tables}/funnel_session_product"
+        mart_plan.build_enriched_mart(ev, staging), f"{tables}/funnel_session_product"
+    )
+    sessions = staging.save(depth.sessions(em), "sessions")
+    return (
+        log_reports(read_log(spark, logs))
+        | event_reports(ev)
+        | mart_reports(em, sessions, ev)
     )
-    return log_reports(read_log(spark, logs)) | event_reports(ev) | mart_reports(em, ev)
 
 
 def main() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def write_log(ev: DataFrame, path: str) -> None:
     )
 
 
+def _has_table(spark: SparkSession, path: str) -> bool:
+    """Whether `path` holds committed Parquet files. A failed write leaves a
+    folder without any."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def ingest_events(
     spark: SparkSession, paths: str | Sequence[str], table_path: str, by_day: bool = False
 ) -> DataFrame:
@@ -57,8 +70,9 @@ def ingest_events(
     events = read_log(spark, paths).select(*EVENT_SCHEMA.names)
     if by_day:
         events = events.withColumn("event_date", F.to_date("event_time"))
-    writer = events.write.mode("ignore")
-    if by_day:
-        writer = writer.partitionBy("event_date")
-    writer.parquet(table_path)
+    if not _has_table(spark, table_path):
+        writer = events.write.mode("overwrite")
+        if by_day:
+            writer = writer.partitionBy("event_date")
+        writer.parquet(table_path)
     return spark.read.schema(events.schema).parquet(table_path)

@@ -105,7 +105,7 @@ def test_empty_log(spark):
     row = conversion.funnel_totals(mart).first()
     assert (row.view_count, row.view_to_cart_rate) == (0, None)
     assert segments.price_distribution(mart).first().median is None
-    assert depth.session_depth_distribution(mart).first().sessions == 0
+    assert depth.session_depth_distribution(depth.sessions(mart)).first().sessions == 0
     assert conversion.first_view_events(mart, ev).count() == 0
 
 
@@ -196,8 +196,8 @@ def test_counts_fit_together(spark, edge_mart):
     assert (
         total(segments.price_band_conversion(edge_mart.where(conversion.has_product()))) == known
     )
-    assert total(depth.depth_band_conversion(edge_mart)) == totals.view_count
-    crosstab = depth.depth_cart_crosstab(edge_mart)
+    assert total(depth.depth_band_conversion(depth.sessions(edge_mart))) == totals.view_count
+    crosstab = depth.depth_cart_crosstab(depth.sessions(edge_mart))
     assert total(crosstab, "cart_yes") == totals.cart_count
     assert total(crosstab, "cart_no") == totals.view_count - totals.cart_count
     checks = {r.stage: r for r in conversion.stage_row_checks(edge_mart).collect()}

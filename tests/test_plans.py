@@ -90,11 +90,15 @@ def test_visits_are_reduced_before_distinct_counts(log):
         depth.session_depth_any_cart,
         depth.depth_purchase_rate,
         depth.multi_view_baseline,
-        lambda em: depth.category_depth_conversion(em, "cat.3"),
     ],
 )
 def test_depth_needs_neither_window_nor_join(mart, operator):
-    plan = planned(operator(mart))
+    plan = planned(operator(depth.sessions(mart)))
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_category_depth_needs_neither_window_nor_join(mart):
+    plan = planned(depth.category_depth_conversion(mart, "cat.3"))
     assert "Window" not in plan and "Join" not in plan
 
 

@@ -83,6 +83,15 @@ def test_ingest_keeps_an_existing_table(spark, tmp_path):
     assert profile.row_count(again).first().total_rows == 2
 
 
+def test_ingest_after_a_failed_one(spark, tmp_path):
+    table = str(tmp_path / "events")
+    bad = log_file(tmp_path, "bad.csv.gz", [*LINES, "yesterday,view,1,,,,x,5,aa"])
+    with pytest.raises(Exception):
+        ingest_events(spark, bad, table)
+    events = ingest_events(spark, log_file(tmp_path, "good.csv.gz", LINES), table)
+    assert events.count() == 2
+
+
 def test_ingest_by_day_prunes(spark, tmp_path):
     later = [line.replace("12-01", "12-02") for line in LINES]
     events = ingest_events(

@@ -101,8 +101,10 @@ def distribution(
                 for rank in (F.floor(p), F.ceil(p))
             ),
         )
-        # At most two buckets per quantile and group, so the broadcast is bounded.
-        inside = counts.join(F.broadcast(ranked.where(wanted)), [*by, "_bucket"])
+        picked = ranked.where(wanted)
+        # At most two buckets per quantile and group: a broadcast is bounded when
+        # there is one group, and otherwise left to Spark to decide.
+        inside = counts.join(picked if by else F.broadcast(picked), [*by, "_bucket"])
         ordered = (
             Window.partitionBy(*by, "_bucket")
             .orderBy("_value")

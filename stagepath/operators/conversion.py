@@ -125,4 +125,5 @@ def first_view_events(mart: DataFrame, ev: DataFrame, n: int = 5) -> DataFrame:
     views = ev.where(F.col("event_type") == "view").select(
         *keys[:2], F.col("event_time").alias("first_view"), *carried
     )
-    return views.join(F.broadcast(heads), keys).select(*keys, *carried).orderBy(*keys, *carried).limit(n)
+    found = views.join(heads, keys).select(*keys, *carried)
+    return found.orderBy(*keys, *carried).limit(n)

@@ -166,10 +166,11 @@ def stage_order_check(ev: DataFrame, funnel: Funnel = FUNNEL) -> DataFrame:
     First events are taken as they come, whatever happened before them. Equal
     times count as ordered, and a NULL product counts as a product.
     """
+    first = {s: F.min(F.when(F.col("event_type") == s, F.col(TIME))) for s in funnel.stages}
     firsts = (
         ev.where(in_session() & F.col("event_type").isin(*funnel.stages))
         .groupBy(*funnel.keys)
-        .agg(*(F.min(F.when(F.col("event_type") == s, F.col(TIME))).alias(s) for s in funnel.stages))
+        .agg(*(time.alias(stage) for stage, time in first.items()))
     )
     checks = []
     for before, after in zip(funnel.stages, funnel.later):

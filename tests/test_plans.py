@@ -121,6 +121,11 @@ def test_quantiles_count_values_once(mart):
     assert plan.count("ReusedExchange") == 1
 
 
+def test_sample_meets_the_log_without_a_shuffle_of_the_log(mart, log):
+    plan = planned(conversion.first_view_events(mart, log))
+    assert "BroadcastHashJoin" in plan and shuffles(plan) == 0
+
+
 def test_mart_reads_only_wanted_columns(mart):
     plan = planned(conversion.funnel_totals(mart))
     assert "view_price" not in plan and "brand" not in plan

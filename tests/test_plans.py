@@ -76,10 +76,11 @@ def test_quality_checks_scan_once(log):
     assert planned(profile.quality_long(log)).count("FileScan") == 1
 
 
-def test_visits_are_reduced_before_distinct_counts(log):
+def test_distinct_counts_are_reduced_before_the_shuffle(log):
     plan = planned(profile.log_profile(log.withColumn("p", F.lit(1)), "p"))
-    # Expand multiplies rows: it must sit above the first aggregation's shuffle.
-    assert plan.index("Expand") < plan.rindex("Exchange")
+    assert plan.count("FileScan") == 1
+    # From the top: the last exchange, the aggregation below it, then the expansion.
+    assert plan.rindex("Exchange") < plan.rindex("HashAggregate") < plan.index("Expand")
 
 
 @pytest.mark.parametrize(

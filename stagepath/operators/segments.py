@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagepath.functions.bands import price_band, price_band_labels
@@ -56,7 +56,7 @@ def category_price_conversion(em: DataFrame, category: str) -> DataFrame:
     return price_band_conversion(chosen).drop("cart_count", "purchase_count")
 
 
-def _top_category_bands(em: DataFrame, top: int, counted) -> DataFrame:
+def _top_category_bands(em: DataFrame, top: int, counted: Column) -> DataFrame:
     """One row per price band of the `top` most viewed known categories.
 
     Every category is one row that carries the counts of its few bands, so one

@@ -38,3 +38,7 @@ def depth_band(depth: Column, bands: dict[str, int] = DEPTH_BANDS) -> Column:
     for label, upper in bands.items():
         band = (F if band is None else band).when(depth <= upper, label)
     return band.otherwise(TOP_DEPTH)
+
+
+def depth_band_labels(bands: dict[str, int] = DEPTH_BANDS) -> list[str]:
+    return [*bands, TOP_DEPTH]

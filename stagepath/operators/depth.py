@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagepath.functions.bands import depth_band
+from stagepath.functions.bands import depth_band, depth_band_labels
 from stagepath.functions.distribution import distribution
 from stagepath.functions.numeric import percent, share
 from stagepath.operators.conversion import COUNTS, has_product, with_rates
@@ -113,7 +113,8 @@ def depth_cart_rate(per_session: DataFrame) -> DataFrame:
         {"session_count": "count", "avg_cart_rate": "avg", "median_cart_rate": 0.5},
         by=[GROUP],
     )
-    return spread.withColumns(
+    order = F.array_position(F.array(*map(F.lit, depth_band_labels())), F.col(GROUP))
+    return spread.orderBy(order).withColumns(
         {c: F.col(c) * 100.0 for c in ("avg_cart_rate", "median_cart_rate")}
     )
 

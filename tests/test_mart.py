@@ -224,3 +224,25 @@ def test_first_view_events_keeps_ties(edge_events, edge_mart):
     assert len(rows) == 12
     assert sorted(r.price for r in rows if r.product_id == 11) == [10.0, 200.0]
     assert conversion.first_view_events(edge_mart, edge_events, n=3).collect() == rows[:3]
+
+
+def test_depth_bands_come_in_order(spark):
+    sizes = {"a": 1, "b": 2, "c": 5, "d": 12, "e": 30}
+    rows = [(s, p, "view", 1, 1.0) for s, n in sizes.items() for p in range(n)]
+    rows += [("b", 0, "cart", 2, 1.0), ("e", 3, "cart", 2, 1.0), ("e", 3, "purchase", 2, 1.0)]
+    sessions = depth.sessions(build_mart(make_events(spark, rows), Staging(spark)))
+    bands = ["1", "2-3", "4-6", "7-20", "21+"]
+    for operator in (
+        depth.depth_band_conversion,
+        depth.depth_cart_crosstab,
+        depth.session_depth_any_cart,
+        depth.depth_cart_rate,
+        depth.depth_purchase_rate,
+    ):
+        assert [r.session_group for r in operator(sessions).collect()] == bands
+    rates = {r.session_group: r for r in depth.depth_cart_rate(sessions).collect()}
+    assert rates["2-3"].median_cart_rate == 50.0
+    assert rates["21+"].avg_cart_rate == pytest.approx(100 / 30)
+    assert rates["1"].avg_cart_rate == 0.0
+    baseline = depth.multi_view_baseline(sessions).first()
+    assert (baseline.view_count, baseline.cart_count, baseline.purchase_count) == (49, 2, 1)

@@ -32,16 +32,15 @@ class _Stored:
 
     def __init__(self, spark: SparkSession, sf_dir: str, version: int):
         self.spark, self.sf_dir, self.version = spark, sf_dir, version
-        self.staging = Staging(spark)
 
     @functools.cached_property
     def mart(self) -> DataFrame:
         ev = canonical_events(self.spark, self.sf_dir)
-        return mart_plan.build_enriched_mart(ev, self.staging)
+        return mart_plan.build_enriched_mart(ev, Staging(self.spark))
 
     @functools.cached_property
     def sessions(self) -> DataFrame:
-        return self.staging.save(depth.sessions(self.mart), "sessions")
+        return Staging(self.spark).save(depth.sessions(self.mart), "sessions")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> _Stored:

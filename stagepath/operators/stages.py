@@ -57,14 +57,22 @@ def next_stage(
 
 
 def later_events(pairs: DataFrame, ev: DataFrame, funnel: Funnel = FUNNEL) -> DataFrame:
-    """The events of the later stages of the given pairs, from their first view on."""
+    """When the given pairs had events of the later stages, from their first view
+    on, each time once.
+
+    A log in seconds thus leaves at most 86,400 rows a day for a pair and stage,
+    whatever the number of its events. They are told apart as one value, so that
+    they are shuffled by all of it and not by their pair.
+    """
     start = funnel.reached(funnel.first)
     return (
         ev.where(F.col("event_type").isin(*funnel.later))
         .select(*funnel.keys, "event_type", TIME)
         .join(pairs.select(*funnel.keys, start), list(funnel.keys))
         .where(F.col(TIME) >= F.col(start))
-        .drop(start)
+        .select(F.struct(*funnel.keys, "event_type", TIME).alias("event"))
+        .distinct()
+        .select("event.*")
     )
 
 

@@ -73,6 +73,18 @@ def test_only_straddled_pairs_stay_open(edge_events):
     assert {(r.user_session, r.product_id) for r in pending} == {("A", 3), ("A", 6)}
 
 
+def test_pending_events_hold_each_time_once(spark):
+    rows = [("A", 1, "view", 2, 1.0), ("B", 1, "view", 1, 1.0), ("B", 1, "cart", 1, 1.0)]
+    rows += [("A", 1, kind, t, 1.0) for kind in ("cart", "purchase") for t in (1, 3, 4)] * 50
+    ev = make_events(spark, rows)
+    pending = stages.pair_bounds(ev).where("open")
+    events = stages.later_events(pending, ev).collect()
+    assert {(r.user_session, r.event_type, r.event_time) for r in events} == {
+        ("A", kind, at(t)) for kind in ("cart", "purchase") for t in (3, 4)
+    }
+    assert len(events) == 4
+
+
 def test_stages_agree_with_each_other(spark, edge_events, edge_mart):
     """The step-by-step operators give the same times as the one-pass build."""
     staging = Staging(spark)

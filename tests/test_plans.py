@@ -72,6 +72,15 @@ def test_stage_filters_reach_the_scan(log):
     assert "EqualTo(event_type,view)" in text and "IsNotNull(user_session)" in text
 
 
+def test_pending_events_are_spread_by_all_their_columns(log):
+    pending = stages.pair_bounds(log).where("open")
+    plan = planned(stages.later_events(pending, log))
+    # The topmost shuffle follows a reduction in the joining tasks.
+    top = plan[: plan.index("Join")]
+    assert top.count("Exchange hashpartitioning(event#") == 1
+    assert top.count("HashAggregate(keys=[event#") == 2
+
+
 def test_quality_checks_scan_once(log):
     assert planned(profile.quality_long(log)).count("FileScan") == 1
 

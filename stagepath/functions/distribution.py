@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 Stat = float | str | Callable[[Column], Column]
 
-# Buckets per doubling of the value: each covers 0.017 % of it, so even a value
-# that never repeats spreads over thousands of buckets. A double spans about
-# 2,100 doublings on either side of zero, which bounds their number.
-_PER_DOUBLING = 4_096
-_SMALLEST = 1_100 * _PER_DOUBLING
+# Between a number and its double lie 2^52 others. They are split into 2^10
+# buckets, and a bucket into 2^18 slices, so a slice holds at most 2^24 different
+# values. There are about 2,100 doublings on either side of zero, which bounds
+# the number of buckets.
+_BUCKETS_PER_DOUBLING = 2**10
+_SLICES_PER_BUCKET = 2**18
+_SLICES_PER_DOUBLING = _BUCKETS_PER_DOUBLING * _SLICES_PER_BUCKET
+_SMALLEST = 1_100 * _SLICES_PER_DOUBLING
 _BEYOND = 10 * _SMALLEST
 
 
-def _bucket(value: Column) -> Column:
+def _slice(value: Column) -> Column:
     """A whole number that never falls as `value` rises."""
     infinite = float("inf")
-    size = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING) + _SMALLEST
-    bucket = (
+    size = F.floor(F.log2(F.abs(value)) * _SLICES_PER_DOUBLING) + _SMALLEST
+    position = (
         F.when(F.isnan(value) | (value == infinite), _BEYOND)
         .when(value == -infinite, -_BEYOND)
         .when(value > 0, size)
@@ -31,12 +34,16 @@ def _bucket(value: Column) -> Column:
         .otherwise(0)
     )
     # Never NULL, and declared so: a join on it then adds no filter below the
-    # value counts, which keeps their shuffle shared by both uses.
-    return F.coalesce(bucket, F.lit(0)).cast("long")
+    # value counts, which keeps their shuffle shared by all uses.
+    return F.coalesce(position, F.lit(0)).cast("long")
 
 
 def distribution(
-    frame: DataFrame, value: str, stats: dict[str, Stat], by: Sequence[str] = ()
+    frame: DataFrame,
+    value: str,
+    stats: dict[str, Stat],
+    by: Sequence[str] = (),
+    few_values: bool = False,
 ) -> DataFrame:
     """One row per `by` group with the requested statistics of `value`.
 
@@ -44,18 +51,23 @@ def distribution(
     interpolated between neighbours), or a predicate on the value (how many
     rows meet it). NULL values are left out.
 
-    Equal values are counted first, then the counts are summed into a bounded
-    number of value buckets. Only the buckets that hold a wanted rank are
-    ordered value by value.
+    Equal values are counted first, and the counts are added up in buckets. Only
+    the buckets that hold a wanted rank are sliced, and only the slices that
+    hold one are ordered value by value.
+
+    `few_values` says that one task can order all different values, as it can
+    with the sizes of groups: k different sizes take at least k^2 / 2 rows, so
+    even 10^12 rows have fewer than 1.5 million.
     """
     by = list(by)
+    v, n = F.col("_value"), F.col("_n")
     counts = (
         frame.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", _bucket(F.col("_value")))
+        .withColumn("_slice", _slice(v))
+        .withColumn("_bucket", F.floor(F.col("_slice") / _SLICES_PER_BUCKET))
     )
-    v, n = F.col("_value"), F.col("_n")
     moments = {
         "count": (F.sum(n), F.sum),
         "min": (F.min(v), F.min),
@@ -69,63 +81,70 @@ def distribution(
         elif isinstance(stat, str):
             totals[name] = moments[stat]
 
-    buckets = counts.groupBy(*by, "_bucket").agg(
-        F.sum(n).alias("_in_bucket"),
-        *(partial.alias(f"_part_{name}") for name, (partial, _) in totals.items()),
-    )
     whole = Window.partitionBy(*by)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = buckets.select(
-        *by,
-        "_bucket",
-        (F.sum("_in_bucket").over(upto) - F.col("_in_bucket")).alias("_before"),
-        F.sum("_in_bucket").over(upto).alias("_upto"),
-        *(merge(f"_part_{name}").over(whole).alias(name) for name, (_, merge) in totals.items()),
+    bucket = "_value" if few_values else "_bucket"
+    buckets = (
+        counts.groupBy(*by, bucket)
+        .agg(F.sum(n).alias("_n"), *(part.alias(name) for name, (part, _) in totals.items()))
+        .withColumn("_before", _before(by, bucket))
+        .withColumns({name: merge(name).over(whole) for name, (_, merge) in totals.items()})
     )
-
-    position = {
-        name: F.lit(float(stat)) * (F.col("_count") - 1)
-        for name, stat in stats.items()
-        if isinstance(stat, float)
-    }
-
-    def holds(rank: Column, start: str, end: str) -> Column:
-        return (F.col(start) <= rank) & (rank < F.col(end))
-
-    if position:
-        wanted = functools.reduce(
-            operator.or_,
-            (
-                holds(rank, "_before", "_upto")
-                for p in position.values()
-                for rank in (F.floor(p), F.ceil(p))
-            ),
-        )
-        picked = ranked.where(wanted)
-        # At most two buckets per quantile and group: a broadcast is bounded when
-        # there is one group, and otherwise left to Spark to decide.
-        inside = counts.join(picked if by else F.broadcast(picked), [*by, "_bucket"])
-        ordered = (
-            Window.partitionBy(*by, "_bucket")
-            .orderBy("_value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quantiles = {name: stat for name, stat in stats.items() if isinstance(stat, float)}
+    if quantiles and not few_values:
+        rows = _rows_in(counts, buckets, [*by, "_bucket"], by, quantiles)
+        slices = (
+            rows.groupBy(*by, "_bucket", "_slice")
+            .agg(F.sum(n).alias("_n"), *(F.max(c).alias(c) for c in ("_before", "_count")))
+            .withColumn("_before", F.col("_before") + _before([*by, "_bucket"], "_slice"))
         )
-        inside = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(ordered))
-        inside = inside.withColumn("_start", F.col("_end") - F.col("_n"))
+        rows = _rows_in(rows.drop("_before"), slices, [*by, "_bucket", "_slice"], by, quantiles)
+        rows = rows.withColumn("_before", F.col("_before") + _before([*by, "_slice"], "_value"))
     else:
-        inside = ranked
+        rows = buckets
 
     def result(name: str, stat: Stat) -> Column:
         if isinstance(stat, float):
-            p = position[name]
-            low = F.max(F.when(holds(F.floor(p), "_start", "_end"), v))
-            high = F.max(F.when(holds(F.ceil(p), "_start", "_end"), v))
-            return low + (high - low) * F.max(p - F.floor(p))
+            low, high = (F.max(F.when(_holds(rank), v)) for rank in _neighbours(stat))
+            position = _position(stat)
+            return low + (high - low) * F.max(position - F.floor(position))
         column = F.max(name)
         if stat == "avg":
             return F.try_divide(column, F.max("_count").cast("double"))
         return F.coalesce(column, F.lit(0)) if stat == "count" or callable(stat) else column
 
-    return inside.groupBy(*by).agg(
-        *(result(name, stat).alias(name) for name, stat in stats.items())
+    return rows.groupBy(*by).agg(*(result(name, stat).alias(name) for name, stat in stats.items()))
+
+
+def _before(group: list[str], order: str) -> Column:
+    """Observations in front of a row of its group."""
+    upto = (
+        Window.partitionBy(*group)
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    return F.sum("_n").over(upto) - F.col("_n")
+
+
+def _position(quantile: float) -> Column:
+    return F.lit(quantile) * (F.col("_count") - 1)
+
+
+def _neighbours(quantile: float) -> tuple[Column, Column]:
+    """The ranks between which a quantile lies."""
+    return F.floor(_position(quantile)), F.ceil(_position(quantile))
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+
+
+def _rows_in(
+    rows: DataFrame, parts: DataFrame, key: list[str], by: list[str], quantiles: dict[str, float]
+) -> DataFrame:
+    """The rows of those parts that hold a wanted rank, with what `parts` knows."""
+    ranks = [rank for quantile in quantiles.values() for rank in _neighbours(quantile)]
+    wanted = parts.where(functools.reduce(operator.or_, map(_holds, ranks)))
+    known = wanted.drop("_n", *(c for c in rows.columns if c not in key))
+    # At most two parts per quantile and group: a broadcast is bounded when there
+    # is one group, and otherwise left to Spark to decide.
+    return rows.join(known if by else F.broadcast(known), key)

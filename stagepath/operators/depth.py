@@ -65,6 +65,7 @@ def session_depth_distribution(per_session: DataFrame) -> DataFrame:
             "p99": 0.99,
             "max_products": "max",
         },
+        few_values=True,
     )
     return spread.withColumn("max_products", F.col("max_products").cast("long"))
 

@@ -131,6 +131,7 @@ def session_breadth(ev: DataFrame) -> DataFrame:
             "single_product_sessions": lambda n: n == 1,
             "multi_product_sessions": lambda n: n > 1,
         },
+        few_values=True,
     )
     return spread.withColumns(
         {
@@ -148,6 +149,7 @@ def session_breadth_summary(ev: DataFrame) -> DataFrame:
         session_products(ev),
         "product_count",
         {"avg_products": "avg", "median_products": 0.5, "max_products": "max"},
+        few_values=True,
     )
     return spread.withColumns(
         {

@@ -125,6 +125,15 @@ def test_quantiles_of_whole_frame(spark, name):
     check(distribution(frame, "v", STATS).first(), values)
 
 
+@pytest.mark.parametrize("name", ["whole numbers", "single", "one value holds a third"])
+def test_quantiles_of_few_values(spark, name):
+    values = samples()[name]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    check(distribution(frame, "v", STATS, few_values=True).first(), values)
+    grouped = frame.withColumn("g", F.lit("x"))
+    check(distribution(grouped, "v", STATS, by=["g"], few_values=True).first(), values)
+
+
 def test_moments_only(spark):
     frame = spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double")
     row = distribution(frame, "v", {"n": "count", "mean": "avg"}).first()

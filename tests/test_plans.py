@@ -128,7 +128,13 @@ def test_top_values_come_from_one_aggregation(mart, operator):
 
 def test_quantiles_count_values_once(mart):
     _, plan = executed(segments.price_distribution(mart))
-    assert plan.count("ReusedExchange") == 1
+    # Read three times: for the buckets, for their slices, for the values.
+    assert plan.count("ReusedExchange") == 2
+
+
+def test_quantiles_of_group_sizes_need_no_join(mart):
+    plan = planned(depth.session_depth_distribution(depth.sessions(mart)))
+    assert "Join" not in plan and shuffles(plan) == 2
 
 
 def test_sample_meets_the_log_without_a_shuffle_of_the_log(mart, log):

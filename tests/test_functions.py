@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stagepath.functions.distribution import distribution
@@ -125,6 +127,25 @@ def test_quantiles_of_whole_frame(spark, name):
     check(distribution(frame, "v", STATS).first(), values)
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    values=st.lists(
+        st.one_of(st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, 58.95])), min_size=1, max_size=60
+    ),
+    fractions=st.lists(st.floats(0, 1), min_size=3, max_size=3),
+)
+def test_any_quantiles_of_any_values(spark, values, fractions):
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = {f"q{i}": q for i, q in enumerate(fractions)}
+    row = distribution(frame, "v", wanted).first()
+    ordered = sorted(values)
+    for name, q in wanted.items():
+        position = q * (len(values) - 1)
+        low, high = ordered[math.floor(position)], ordered[math.ceil(position)]
+        expected = low + (high - low) * (position - math.floor(position))
+        assert row[name] == pytest.approx(expected, rel=1e-12, abs=1e-300)
+
+
 @pytest.mark.parametrize("name", ["whole numbers", "single", "one value holds a third"])
 def test_quantiles_of_few_values(spark, name):
     values = samples()[name]

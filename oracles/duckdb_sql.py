@@ -177,33 +177,32 @@ def oracle_sql() -> dict[str, str]:
         "event_type_counts": _log("select event_type, count(*) as event_count from ev group by 1"),
         "column_quality": _log(
             "select count(distinct product_id) as products, "
-            "sum((user_id is null)::int)::bigint as null_user_id, "
-            "sum((user_session is null)::int)::bigint as null_session, "
-            "sum((category_code is null)::int)::bigint as null_category_code, "
-            "sum((brand is null)::int)::bigint as null_brand, "
-            "sum((price is null)::int)::bigint as null_price, "
-            "coalesce(sum((price <= 0)::int), 0)::bigint as non_positive_price, "
+            "count(*) filter (user_id is null) as null_user_id, "
+            "count(*) filter (user_session is null) as null_session, "
+            "count(*) filter (category_code is null) as null_category_code, "
+            "count(*) filter (brand is null) as null_brand, "
+            "count(*) filter (price is null) as null_price, "
+            "count(*) filter (price <= 0) as non_positive_price, "
             "round(min(price), 6) as min_price, round(max(price), 6) as max_price, "
             "round(avg(price), 2) as avg_price from ev"
         ),
         "null_price_profile": _log(
             "select count(*) as total_rows, "
-            "sum((category_code is null)::int)::bigint as null_category, "
+            "count(*) filter (category_code is null) as null_category, "
             "round(avg((category_code is null)::int * 100.0::double), 2) as null_category_pct, "
-            "sum((brand is null)::int)::bigint as null_brand, "
+            "count(*) filter (brand is null) as null_brand, "
             "round(avg((brand is null)::int * 100.0::double), 2) as null_brand_pct, "
-            "sum((price is null)::int)::bigint as null_price, "
-            "coalesce(sum((price = 0)::int), 0)::bigint as zero_price, "
-            "coalesce(sum((price < 0)::int), 0)::bigint as negative_price from ev"
+            "count(*) filter (price is null) as null_price, "
+            "count(*) filter (price = 0) as zero_price, "
+            "count(*) filter (price < 0) as negative_price from ev"
         ),
         "quality_long": _log(
-            "select item, sum(hit::int)::bigint as count from (select unnest(["
-            "{'item': 'category_code 결측', 'hit': category_code is null}, "
-            "{'item': 'brand 결측', 'hit': brand is null}, "
-            "{'item': 'price 결측', 'hit': price is null}, "
-            "{'item': 'price = 0', 'hit': coalesce(price = 0, false)}, "
-            "{'item': 'price < 0', 'hit': coalesce(price < 0, false)}], recursive := true) "
-            "from ev) group by 1"
+            "select unnest(["
+            "{'item': 'category_code 결측', 'count': count(*) filter (category_code is null)}, "
+            "{'item': 'brand 결측', 'count': count(*) filter (brand is null)}, "
+            "{'item': 'price 결측', 'count': count(*) filter (price is null)}, "
+            "{'item': 'price = 0', 'count': count(*) filter (price = 0)}, "
+            "{'item': 'price < 0', 'count': count(*) filter (price < 0)}], recursive := true) from ev"
         ),
         "null_session_by_type": _log(
             "select event_type, count(*) as count from ev where user_session is null group by 1"
@@ -213,9 +212,9 @@ def oracle_sql() -> dict[str, str]:
             "round(avg(n), 2) as avg_products_per_session, "
             "median(n)::double as median_products_per_session, "
             "max(n) as max_products_per_session, "
-            "sum((n = 1)::int)::bigint as single_product_sessions, "
-            "sum((n > 1)::int)::bigint as multi_product_sessions, "
-            "round(sum((n > 1)::int) * 100.0::double / count(*), 2) as multi_product_pct "
+            "count(*) filter (n = 1) as single_product_sessions, "
+            "count(*) filter (n > 1) as multi_product_sessions, "
+            "round(count(*) filter (n > 1) * 100.0::double / nullif(count(*), 0), 2) as multi_product_pct "
             "from per_session"
         ),
         "session_breadth_summary": _log(
@@ -227,19 +226,23 @@ def oracle_sql() -> dict[str, str]:
             "where user_session is not null) "
             "pivot (min(event_time) for event_type in ('view', 'cart', 'purchase') "
             "group by user_session, product_id)) "
-            "select sum((coalesce(\"view\" <= cart, false))::int)::bigint as view_to_cart_ordered, "
-            "sum((coalesce(\"view\" > cart, false))::int)::bigint as view_cart_reversed, "
-            "sum((coalesce(cart <= purchase, false))::int)::bigint as cart_to_purchase_ordered, "
-            "sum((coalesce(cart > purchase, false))::int)::bigint as cart_purchase_reversed "
+            "select count(*) filter (\"view\" <= cart) as view_to_cart_ordered, "
+            "count(*) filter (\"view\" > cart) as view_cart_reversed, "
+            "count(*) filter (cart <= purchase) as cart_to_purchase_ordered, "
+            "count(*) filter (cart > purchase) as cart_purchase_reversed "
             "from firsts"
         ),
         "price_change_products": _log(
-            "select count(*) as total_products, sum((n > 1)::int)::bigint as changed_price_products, "
+            "select count(*) as total_products, "
+            "sum((n > 1)::int)::bigint as changed_price_products, "
             f"{_rate('sum((n > 1)::int)', 'count(*)')} as changed_price_pct "
             "from (select product_id, count(distinct price) as n from ev "
             "where event_type = 'view' group by 1)"
         ),
-        "funnel_counts": _pairs(f"select {SUMMARY} from mart"),
+        "funnel_counts": _pairs(
+            f"select count(*) as view_count, count(first_valid_cart) as cart_count, "
+            f"count(first_valid_purchase) as purchase_count, {RATES} from mart"
+        ),
         "funnel_view": _pairs("select user_session, product_id, first_view from p1"),
         "funnel_cart": _pairs(
             "select user_session, product_id, first_view, first_valid_cart from p2"
@@ -288,11 +291,11 @@ def oracle_sql() -> dict[str, str]:
         "first_view_category": _first_view("category_code"),
         "first_view_brand": _first_view("brand"),
         "first_view_coverage": _pairs(
-            "select count(*) as total, attribute, count(known) as available, "
-            "count(*) - count(known) as missing from ("
-            "select 'price' as attribute, view_price::varchar as known from p1 "
-            "union all select 'category', category_code from p1 "
-            "union all select 'brand', brand from p1) group by attribute"
+            "select count(*) as total, 'price' as attribute, count(view_price) as available, "
+            "count(*) filter (view_price is null) as missing from p1 "
+            "union all select count(*), 'category', count(category_code), "
+            "count(*) filter (category_code is null) from p1 "
+            "union all select count(*), 'brand', count(brand), count(*) filter (brand is null) from p1"
         ),
         "price_distribution": _pairs(
             "select round(min(view_price), 6) as min_price, "
@@ -376,8 +379,9 @@ def oracle_sql() -> dict[str, str]:
               from (unpivot crosstab on cart_yes, cart_no into name has_cart value o)
             ),
             test as (
-              select sum(pow(o - r * c / n::double, 2) / (r * c / n::double)) as x,
-                count(distinct session_group) - 1 as dof, max(n) as n
+              select count(distinct session_group) - 1 as dof, max(n) as n,
+                case when min(c) > 0 and dof > 0
+                  then sum(pow(o - r * c / n::double, 2) / (r * c / n::double)) end as x
               from cells
             )
             select round(x, 6) as chi2, dof,

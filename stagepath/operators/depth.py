@@ -134,4 +134,7 @@ def depth_purchase_rate(per_session: DataFrame) -> DataFrame:
 def multi_view_baseline(per_session: DataFrame, min_depth: int = 2) -> DataFrame:
     """The funnel over sessions that viewed at least `min_depth` products."""
     deep = per_session.where(F.col("viewed_products") >= min_depth)
-    return with_rates(deep.agg(*_summed(*COUNTS)))
+    views, *others = COUNTS
+    return with_rates(
+        deep.agg(F.coalesce(F.sum(views), F.lit(0)).alias(views), *_summed(*others))
+    )

@@ -193,7 +193,9 @@ def price_change_products(ev: DataFrame) -> DataFrame:
     )
     return products.agg(
         F.count("*").alias("total_products"),
-        F.count_if(F.col("low") < F.col("high")).alias("changed_price_products"),
+        F.sum(F.when(F.col("low") < F.col("high"), 1).otherwise(0)).alias(
+            "changed_price_products"
+        ),
     ).withColumn(
         "changed_price_pct", percent(F.col("changed_price_products"), F.col("total_products"))
     )

@@ -26,9 +26,7 @@ def test_every_query_has_checking_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, name):
-    sf_dir = f"{TESTDATA}/sf0.01"
+def assert_matches_sql(spark, name, sf_dir):
     frame = QUERIES[name](spark, sf_dir)
     con = duckdb_tables(sf_dir)
     cursor = con.execute(ORACLES[name])
@@ -39,6 +37,22 @@ def test_query_matches_sql(spark, name):
     assert rows_by_name(frame.collect(), frame.columns) == rows_by_name(expected, columns)
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_sql(spark, name):
+    assert_matches_sql(spark, name, f"{TESTDATA}/sf0.01")
+
+
+@pytest.mark.parametrize(
+    "kept", ["event_id < 0", "event_id = 1", "event_type not in ('click', 'purchase')"]
+)
+def test_queries_match_sql_on_sparse_logs(spark, tmp_path, kept):
+    """No events at all, a single one, and only views."""
+    con = duckdb_tables(f"{TESTDATA}/sf0.001")
+    con.execute(f"copy (from events where {kept}) to '{tmp_path}/events.parquet' (format parquet)")
+    for name in QUERIES:
+        assert_matches_sql(spark, name, str(tmp_path))
+
+
 def test_entry_runs(spark):
     assert entry_points.entry(spark).count() > 0
 

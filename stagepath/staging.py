@@ -6,7 +6,6 @@ planner true sizes, so a later join is broadcast only when its side is small.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +20,8 @@ class Staging:
         self.spark = spark
         shared = spark.conf.get(CHECKPOINT_DIR, None)
         if shared is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-            shared = tempfile.mkdtemp(prefix="run-stagepath-")
+            # The warehouse is the other place that every node reaches.
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
         self.root = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def path(self, label: str) -> str:

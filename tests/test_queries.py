@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from oracles import duckdb_sql
 from stagepath.plans import catalog
 from tests.conftest import TESTDATA, duckdb_tables
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = duckdb_sql.oracle_sql()
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -26,6 +27,11 @@ def test_every_query_has_checking_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_points_offer_every_query():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def assert_matches_sql(spark, name, sf_dir):
     frame = QUERIES[name](spark, sf_dir)
     con = duckdb_tables(sf_dir)

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagepath.llm import fingerprints as order_minhash
-from stagepath.llm import sharding, warc
+from stagepath.llm import packing, sharding, warc
 from stagepath.llm.common import table
 from stagepath.staging import Staging
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in windows of 2048 tokens, a row per piece."""
+    return packing.pack(table(spark, sf_dir, "documents"), Staging(spark)).drop("ids")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back, a row per capture."""
     staging = Staging(spark)
@@ -54,6 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
         "op10_fingerprints": op10_fingerprints,

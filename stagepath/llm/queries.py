@@ -8,11 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagepath.llm import fingerprints as order_minhash
-from stagepath.llm import packing, sharding, warc
+from stagepath.llm import classifier, packing, quality, secret_scan, sharding, warc
 from stagepath.llm.common import table
 from stagepath.staging import Staging
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and the verdict of the rules on words and on shared lines."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), Staging(spark))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "removed_words", "removed_lines",
+    )
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), Staging(spark))
+    return found.select(
+        "doc_id", "start", F.length("value").alias("length"),
+        F.sha2("value", 256).alias("value_sha256"), "is_secret",
+        F.round("chance", 6).alias("chance"),
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior chance of every document that it is good, and the verdict."""
+    return classifier.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Staging(spark)
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048 tokens, a row per piece."""
     return packing.pack(table(spark, sf_dir, "documents"), Staging(spark)).drop("ids")
@@ -59,6 +85,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_secret_scans": op2_secret_scans,
+        "op3_quality_classifier": op3_quality_classifier,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagepath.llm import fingerprints as order_minhash
-from stagepath.llm import classifier, packing, quality, secret_scan, sharding, warc
+from stagepath.llm import classifier, jaccard, packing, quality, secret_scan, sharding, warc
 from stagepath.llm.common import table
 from stagepath.staging import Staging
 
@@ -78,6 +78,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 5-word shingles and its near-duplicate group."""
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), Staging(spark))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and its edited text."""
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"), Staging(spark))
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_fingerprints": op10_fingerprints,
     }
 

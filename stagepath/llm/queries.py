@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagepath.llm import fingerprints as order_minhash
-from stagepath.llm import classifier, jaccard, packing, quality, secret_scan, sharding, warc
+from stagepath.llm import (
+    checks_sql,
+    classifier,
+    html_text,
+    jaccard,
+    packing,
+    quality,
+    secret_scan,
+    sentencepiece_bpe,
+    sharding,
+    warc,
+)
 from stagepath.llm.common import table
 from stagepath.staging import Staging
 
@@ -39,6 +51,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of SentencePiece ids, their checksum, and a digest of what they decode to."""
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(sentencepiece_bpe.MODEL)
+    return sentencepiece_bpe.encode_documents(docs, path).select(
+        "doc_id",
+        "n_tokens",
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048 tokens, a row per piece."""
     return packing.pack(table(spark, sf_dir, "documents"), Staging(spark)).drop("ids")
@@ -78,6 +102,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of 5-word shingles and its near-duplicate group."""
     return jaccard.near_groups(table(spark, sf_dir, "documents"), Staging(spark))
@@ -93,13 +122,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
+        "op8_html_extraction": op8_html_extraction,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_fingerprints": op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return checks_sql.oracle_sql()

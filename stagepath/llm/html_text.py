@@ -144,7 +144,7 @@ def blocks(page: str) -> list[Block]:
         beside = _is_beside(tag, match["rest"])
         if tag in BLOCKS or beside:
             close_block()
-        if tag in VOID or match["rest"].endswith("/"):
+        if tag in VOID:
             continue
         if tag == "body":
             n_links, stack[:] = 0, []

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -19,10 +20,8 @@ from stagepath.staging import Staging
 
 WORDS = 5
 PERCENT = 75
-#: Share of the n-gram order, which is by hash, in which document frequencies are counted.
-COUNTED = 0.4
-#: An n-gram of the counted share comes last in the order if more documents hold it.
-COMMON = 64
+#: An n-gram that more documents hold comes last in the order, which is by hash otherwise.
+COMMON = 16
 #: Bounds what is broadcast: 8 bytes per common n-gram, 1 bit per place of the filter.
 MAX_COMMON = 1 << 20
 FILTER_PLACES = 1 << 23
@@ -34,7 +33,7 @@ CACHED_WORDS = 1 << 20
 _RANDOM = np.random.default_rng(90210)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = "doc_id long, node long, n long, bands array<long>, low binary"
+SKETCH = "doc_id long, node long, n long, bands array<long>, bits binary"
 
 
 class _WordHashes(dict):
@@ -83,15 +82,32 @@ def _node(grams: np.ndarray) -> int:
 
 
 def _bands(grams: np.ndarray) -> list[int]:
-    least = [int(_mix(grams * factor).min()) for factor in _FACTORS]
+    least = [int((grams * factor).min()) for factor in _FACTORS]
     return [
         xxhash.xxh64_intdigest(repr((band, least[band * ROWS : (band + 1) * ROWS])).encode()) - (1 << 63)
         for band in range(BANDS)
     ]
 
 
-def _limit() -> np.uint64:
-    return np.uint64(int(COUNTED * 2.0**64))
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """Whether an odd number of n-grams fall on each of two to four places per n-gram."""
+    places = 1 << max(7, int(len(grams)).bit_length() + 1)
+    counts = np.bincount((grams % np.uint64(places)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
+    """False only if two sets cannot be linked.
+
+    A place of odd parity in the one and even in the other takes an n-gram that only one of them
+    holds, and linked sets differ in at most (100 - percent) / (100 + percent) of their sizes'
+    sum. The longer bits are folded to the length of the shorter.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    apart = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b
+    differ = int(np.bitwise_count(apart).sum())
+    return differ * (100 + percent) <= (100 - percent) * (n_a + n_b)
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -102,12 +118,19 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def sketches(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Per document: a digest of its set, the set's size, min-hash bands, and the part of the set
-    that the counted share of the order and the prefix can reach."""
+def _grams_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for text in batch.column(0):
+            grams = gram_set(text.as_py(), words)
+            if len(grams):
+                yield grams
+
+
+def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Per document: a digest of its set, the set's size, min-hash bands and parity bits."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
-         ("bands", pa.list_(pa.int64())), ("low", pa.binary())]
+         ("bands", pa.list_(pa.int64())), ("bits", pa.binary())]
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,23 +138,24 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
             rows = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = gram_set(value.as_py(), words)
-                n = len(grams)
-                if not n:
+                if len(grams):
+                    bits = parity_bits(grams).tobytes()
+                    rows.append((doc_id, _node(grams), len(grams), _bands(grams), bits))
+                else:
                     rows.append((doc_id, 0, 0, [], b""))
-                    continue
-                reach = max(int(np.searchsorted(grams, _limit())), prefix_length(n, percent))
-                rows.append((doc_id, _node(grams), n, _bands(grams), grams[:reach].tobytes()))
-                if len(rows) >= 1000:
-                    yield _batch(schema, rows)
-                    rows = []
             yield _batch(schema, rows)
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(sketch, SKETCH)
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
-    """Which of as many equal cuts of the order an n-gram lies in."""
-    return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+    """Which of as many equal cuts of the order an n-gram lies in; a power of two."""
+    return (grams >> np.uint64(65 - fragments.bit_length())).astype(np.int64)
+
+
+def _in_fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    """The 32 bits of an n-gram behind those that name its fragment."""
+    return (grams >> np.uint64(33 - fragments.bit_length())).astype(np.uint32)
 
 
 def _split(order: np.ndarray, fragments: int) -> Iterator[tuple[int, slice]]:
@@ -142,124 +166,133 @@ def _split(order: np.ndarray, fragments: int) -> Iterator[tuple[int, slice]]:
         yield int(part[low]), slice(low, high)
 
 
-def common_grams(stored: DataFrame, fragments: int, staging: Staging) -> np.ndarray:
-    """Sorted n-grams of the counted share that more than COMMON documents hold.
+def _marks(grams: np.ndarray, fragments: int) -> np.ndarray:
+    """What an n-gram is counted by: its fragment and 32 bits more. As a fragment holds some
+    millions of n-grams at any size of the corpus, one in a thousand shares its mark."""
+    return grams >> np.uint64(33 - fragments.bit_length())
+
+
+def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int) -> np.ndarray:
+    """Sorted marks of the n-grams that more than COMMON documents hold, counted over all of them.
 
-    Every task sends each n-gram once with its count, by fragment. If more than MAX_COMMON are
-    common, the limit is doubled until they fit: the order may be any, so this
+    A task sends each mark once, those it met again with their counts. If more than MAX_COMMON
+    are common, the limit is doubled until they fit: the order may be any, so this
     costs candidates, never links.
     """
-    counted = pa.schema([("fragment", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema(
+        [("fragment", pa.int64()), ("once", pa.binary()), ("again", pa.binary()), ("counts", pa.binary())]
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
         def send() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            counts = counts.astype(np.uint32)
-            return _batch(counted, [
-                (part, grams[at].tobytes(), counts[at].tobytes()) for part, at in _split(grams, fragments)
-            ])
+            rows = []
+            for part, at in _split(grams, fragments):
+                marks, n = _in_fragment(grams[at], fragments), counts[at].astype(np.uint32)
+                rows.append((part, marks[n == 1].tobytes(), marks[n > 1].tobytes(), n[n > 1].tobytes()))
+            return _batch(schema, rows)
 
-        for batch in batches:
-            for low in batch.column(0):
-                grams = np.frombuffer(low.as_buffer(), np.uint64)
-                grams = grams[: np.searchsorted(grams, _limit())]
-                if len(grams):
-                    held.append(grams)
-                    size += len(grams)
-                if size > FRAGMENT_GRAMS:
-                    yield send()
-                    held, size = [], 0
+        held, size = [], 0
+        for grams in _grams_of(batches, words):
+            held.append(grams)
+            size += len(grams)
+            if size > FRAGMENT_GRAMS:
+                yield send()
+                held, size = [], 0
         if held:
             yield send()
 
     def add_up(group: pa.Table) -> pa.Table:
-        grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["counts"]])
-        order = np.argsort(grams, kind="stable")
-        grams, counts = grams[order], counts[order].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        once, again, n = (
+            np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group[c]])
+            for c in ("once", "again", "counts")
+        )
+        marks = np.concatenate([once, again])
+        counts = np.concatenate([np.ones(len(once), np.int64), n.astype(np.int64)])
+        order = np.argsort(marks, kind="stable")
+        marks, counts = marks[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
         total = np.add.reduceat(counts, starts)
         many = total > COMMON
-        return pa.table({"gram": grams[starts][many].view(np.int64), "n": total[many]})
+        fragment = group["fragment"][0].as_py()
+        return pa.table({"mark": marks[starts][many].astype(np.int64) + (fragment << 32), "n": total[many]})
 
     common = staging.save(
-        stored.where("n > 0").select("low")
-        .mapInArrow(count, "fragment long, grams binary, counts binary")
-        .groupBy("fragment").applyInArrow(add_up, "gram long, n long"),
+        texts.mapInArrow(count, "fragment long, once binary, again binary, counts binary")
+        .groupBy("fragment").applyInArrow(add_up, "mark long, n long"),
         "common",
     )
-    sizes = {r.power: r.n for r in common.groupBy(F.floor(F.log2("n")).alias("power")).agg(
-        F.count("*").alias("n")).collect()}
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = {r.power: r.n for r in common.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
     least = 0
     while sum(n for power, n in sizes.items() if power >= least) > MAX_COMMON:
         least += 1
-    kept = common.where(F.col("n") >= 2**least).select("gram").toArrow()["gram"].to_numpy()
-    return np.sort(kept.astype(np.int64).view(np.uint64))
+    kept = common.where(F.col("n") >= 2**least).select("mark").toArrow()["mark"].to_numpy()
+    return np.sort(kept.astype(np.uint64))
 
 
 def shared_prefixes(
-    stored: DataFrame, common: Broadcast, fragments: int, percent: int
+    texts: DataFrame, common: Broadcast, fragments: int, words: int, percent: int
 ) -> DataFrame:
-    """(gram, node) of every n-gram that stands in the prefixes of two sets or more.
-
-    The order puts the common n-grams of the counted share behind its others.
+    """(gram, node, place) of every n-gram that stands in the prefixes of two sets or more, and its
+    place there. The order puts the common n-grams behind the others.
     """
-    sent = pa.schema([("fragment", pa.int64()), ("grams", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema(
+        [("fragment", pa.int64()), ("grams", pa.binary()), ("nodes", pa.binary()), ("places", pa.binary())]
+    )
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int]] = []
-        size, seen = 0, set()
         many = common.value
 
         def send() -> pa.RecordBatch:
-            grams = np.concatenate([grams for grams, _ in held])
-            nodes = np.repeat(
-                np.array([node for _, node in held], np.int64), [len(grams) for grams, _ in held]
-            )
+            grams = np.concatenate(held)
+            nodes = np.repeat(np.array(owners, np.int64), [*map(len, held)])
+            places = np.concatenate([np.arange(len(prefix), dtype=np.int32) for prefix in held])
             order = np.argsort(grams, kind="stable")
-            grams, nodes = grams[order], nodes[order]
-            return _batch(sent, [
-                (part, grams[at].tobytes(), nodes[at].tobytes()) for part, at in _split(grams, fragments)
+            grams, nodes, places = grams[order], nodes[order], places[order]
+            return _batch(schema, [
+                (part, grams[at].tobytes(), nodes[at].tobytes(), places[at].tobytes())
+                for part, at in _split(grams, fragments)
             ])
 
-        for batch in batches:
-            for node, n, low in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
-            ):
-                if node in seen:
-                    continue
-                seen.add(node)
-                grams = np.frombuffer(low.as_buffer(), np.uint64)
-                if len(many):
-                    place = np.minimum(np.searchsorted(many, grams), len(many) - 1)
-                    last = (many[place] == grams).astype(np.int8)
-                    last[np.searchsorted(grams, _limit()) :] = 2
-                    grams = grams[np.argsort(last, kind="stable")]
-                held.append((grams[: prefix_length(n, percent)], node))
-                size += len(held[-1][0])
-                if size > FRAGMENT_GRAMS:
-                    yield send()
-                    held, size = [], 0
+        held, owners, size, seen = [], [], 0, set()
+        for grams in _grams_of(batches, words):
+            node = _node(grams)
+            if node in seen:
+                continue
+            seen.add(node)
+            length = prefix_length(len(grams), percent)
+            if len(many):
+                marks = _marks(grams, fragments)
+                last = many[np.minimum(np.searchsorted(many, marks), len(many) - 1)] == marks
+                grams = np.concatenate([grams[~last], grams[last]])
+            held.append(grams[:length])
+            owners.append(node)
+            size += length
+            if size > FRAGMENT_GRAMS:
+                yield send()
+                held, owners, size = [], [], 0
         if held:
             yield send()
 
     def shared(group: pa.Table) -> pa.Table:
         grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]])
         nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["nodes"]])
+        places = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group["places"]])
         order = np.lexsort((nodes, grams))
-        grams, nodes = grams[order], nodes[order]
+        grams, nodes, places = grams[order], nodes[order], places[order]
         new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])])
-        grams, nodes = grams[new], nodes[new]
+        grams, nodes, places = grams[new], nodes[new], places[new]
         same = np.concatenate([[False], grams[1:] == grams[:-1]])
         twice = same | np.concatenate([same[1:], [False]])
-        return pa.table({"gram": grams[twice].view(np.int64), "node": nodes[twice]})
+        return pa.table(
+            {"gram": grams[twice].view(np.int64), "node": nodes[twice], "place": places[twice]}
+        )
 
     return (
-        stored.where("n > 0").select("node", "n", "low")
-        .mapInArrow(prefixes, "fragment long, grams binary, nodes binary")
-        .groupBy("fragment").applyInArrow(shared, "gram long, node long")
+        texts.mapInArrow(prefixes, "fragment long, grams binary, nodes binary, places binary")
+        .groupBy("fragment")
+        .applyInArrow(shared, "gram long, node long, place int")
     )
 
 
@@ -316,14 +349,34 @@ class _Verifier:
             take_apart, "node long, n long, cut int, grams array<long>"
         )
 
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Leaves out pairs whose parity bits show that they are too different."""
+        percent = self.percent
+
+        @F.pandas_udf("boolean")
+        def possible(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+            return pd.Series([
+                may_link(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n, m, percent)
+                for x, y, n, m in zip(a, b, n_a, n_b, strict=True)
+            ], dtype=bool)
+
+        def side(name: str) -> DataFrame:
+            return self.classes.select(
+                F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")
+            )
+
+        sized = pairs.join(side("b"), "b").join(side("a"), "a")
+        return sized.where(possible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the stored pairs (a, b) of classes that are linked.
 
         Each fragment's overlap is counted by itself and the counts are summed per pair.
         Repeated documents give the same count again, of which the largest is taken.
         """
+        pairs = self.staging.save(self._possible(pairs), f"{label}-possible")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        cuts = self._fragments(nodes)
+        cuts = self.staging.save(self._fragments(nodes), f"{label}-cuts")
         left = cuts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "cut", F.col("grams").alias("grams_b"))
         right = cuts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "cut", F.col("grams").alias("grams_a"))
         overlap = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -363,14 +416,15 @@ def near_groups(
        prefixes; of those that two components share, each fragment pairs one class of each.
     3. All classes of different components that share an n-gram of their prefixes are
        paired, so that no link between groups is lost.
-    Pairs are verified exactly, fragment by fragment.
+    Pairs whose parity bits do not rule them out are verified exactly, fragment by fragment.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    stored = staging.save(sketches(docs, key, text, words, percent), "sketches")
+    stored = staging.save(sketches(docs, key, text, words), "sketches")
     classes = staging.save(
         stored.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
+            F.first("bands").alias("bands"), F.first("bits").alias("bits"),
         ),
         "classes",
     )
@@ -386,9 +440,11 @@ def near_groups(
     links = verifier.links(stars, "star-links")
 
     total = stored.agg(F.sum("n")).first()[0] or 0
-    fragments = max(shuffle_partitions(spark), -(-total // FRAGMENT_GRAMS))
-    common = spark.sparkContext.broadcast(common_grams(stored, fragments, staging))
-    postings = staging.save(shared_prefixes(stored, common, fragments, percent), "postings")
+    least = max(shuffle_partitions(spark), -(-total // FRAGMENT_GRAMS))
+    fragments = 1 << (least - 1).bit_length()
+    texts = docs.select(text)
+    common = spark.sparkContext.broadcast(common_marks(texts, fragments, staging, words))
+    postings = staging.save(shared_prefixes(texts, common, fragments, words, percent), "postings")
 
     def between(found: DataFrame, label: str) -> DataFrame:
         """The postings of n-grams that two components or more share, with component and size."""
@@ -402,18 +458,27 @@ def near_groups(
         ).where("low < high").select("gram")
         return staging.save(placed.join(mixed, "gram"), f"{label}-between")
 
-    def fits(n_a: str, n_b: str) -> Column:
-        return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    def fits() -> Column:
+        # No more than what follows a shared n-gram in either order can be shared beside it, if
+        # it is the first; and if the first fails, so do all.
+        most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+        return (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))
+
+    def side(found: DataFrame, component: str, name: str) -> DataFrame:
+        return found.select(
+            "gram", F.col("component").alias(component), F.col("node").alias(name),
+            F.col("n").alias(f"n_{name}"), F.col("place").alias(f"place_{name}"),
+        )
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     shared = between(links, "first")
-    chosen = shared.groupBy("gram", "component").agg(F.min(F.struct("node", "n")).alias("least"))
-    one = chosen.select("gram", F.col("component").alias("c"), F.col("least.node").alias("x"), F.col("least.n").alias("n_x"))
-    other = chosen.select("gram", F.col("component").alias("d"), F.col("least.node").alias("y"), F.col("least.n").alias("n_y"))
+    chosen = shared.groupBy("gram", "component").agg(
+        F.min(F.struct("place", "node", "n")).alias("first")
+    ).select("gram", "component", "first.*")
     chosen_pairs = staging.save(
-        ordered(one.join(other, "gram").where((F.col("c") < F.col("d")) & fits("n_x", "n_y"))),
+        ordered(side(chosen, "c", "x").join(side(chosen, "d", "y"), "gram").where(fits()).where("c < d")),
         "chosen-pairs",
     )
     links = links.unionByName(verifier.links(chosen_pairs, "chosen-links"))
@@ -423,10 +488,9 @@ def near_groups(
     meet = sites.select("gram", F.col("component").alias("c")).join(
         sites.select("gram", F.col("component").alias("d")), "gram"
     ).where("c < d")
-    x = shared.select("gram", F.col("component").alias("c"), F.col("node").alias("x"), F.col("n").alias("n_x"))
-    y = shared.select("gram", F.col("component").alias("d"), F.col("node").alias("y"), F.col("n").alias("n_y"))
     rest = ordered(
-        meet.join(x, ["gram", "c"]).join(y, ["gram", "d"]).where(fits("n_x", "n_y"))
+        meet.join(side(shared, "c", "x"), ["gram", "c"])
+        .join(side(shared, "d", "y"), ["gram", "d"]).where(fits())
     ).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
     rest = staging.save(rest, "rest-pairs")
     links = links.unionByName(verifier.links(rest, "rest-links"))
@@ -448,3 +512,21 @@ def near_groups(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
     return with_grams.unionByName(without)
+
+
+def keep_one_of_each(docs: DataFrame, staging: Staging, **options) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate group, in its own columns.
+
+    Rows that repeat both doc_id and text count as one document. Rows of one doc_id with
+    different texts stay or go together.
+    """
+    groups = staging.save(near_groups(docs, staging, **options), "groups")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_stay")
+    )
+    once = stay.groupBy("_stay").agg(F.count("*").alias("_rows"))
+    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_stay")))
+    if once.where("_rows > 1").isEmpty():
+        return kept.select(*docs.columns)
+    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    return kept.where("_rows = 1").unionByName(repeated).select(*docs.columns)

@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stagepath.llm import components, jaccard
+from tests.llm.helpers import make_docs, with_clashes
+
+
+def grams(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    n = min(5, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+
+def brute_force(texts):
+    """(set size, smallest index reachable) of every text, by comparing all pairs."""
+    sets = [grams(text) for text in texts]
+    least = list(range(len(sets)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+def words(rng, n, vocabulary=2000):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def edited(rng, text, times):
+    text = list(text)
+    for _ in range(times):
+        at = rng.randrange(len(text))
+        rng.choice([lambda: text.__setitem__(at, f"e{rng.random()}"), lambda: text.pop(at),
+                    lambda: text.insert(at, f"i{rng.random()}")])()
+    return text
+
+
+def corpus(seed):
+    """Chains of edits, near copies on both sides of the limit, shared passages, exact copies."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(6):
+        base = words(rng, rng.randrange(20, 120))
+        chain = base
+        for step in range(10):
+            out.append(edited(rng, base, rng.randrange(0, 5)))
+            chain = edited(rng, chain, 1)
+            out.append(chain)
+        out += [base, base]
+    passage = words(rng, 60)
+    for n in (0, 2, 5, 10, 15, 20, 30, 60, 200):
+        out += [words(rng, n) + passage + words(rng, n) for _ in range(12)]
+    out += [words(rng, n) for n in (1, 1, 2, 3, 4, 5, 6, 7) for _ in range(3)]
+    out += [["a"] * n for n in (1, 2, 4, 5, 6, 50)] + [list("abcd"), list("ABCD"), []]
+    rng.shuffle(out)
+    return [" ".join(x) for x in out] + [None, "", " \n"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_match_brute_force(spark, staging, monkeypatch, seed):
+    # Few enough to be common, so that common n-grams stand in prefixes too.
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    texts = corpus(seed)
+    found = jaccard.near_groups(with_clashes(make_docs(spark, texts)), staging).collect()
+    assert [(r.n_shingles, r.component_id) for r in sorted(found, key=lambda r: r.doc_id)] == brute_force(texts)
+
+
+def test_without_bands_the_prefixes_find_every_link(spark, staging, monkeypatch):
+    monkeypatch.setattr(jaccard, "_bands", lambda grams: [])
+    texts = corpus(3)
+    found = jaccard.near_groups(make_docs(spark, texts), staging).collect()
+    assert [(r.n_shingles, r.component_id) for r in sorted(found, key=lambda r: r.doc_id)] == brute_force(texts)
+
+
+def test_repeated_and_null_ids(spark, staging):
+    a, b = "one two three four five six seven", "other words that are not like the first"
+    docs = make_docs(spark, [a, a, b, a, None, None, "x", "x"], ids=[5, 5, 5, 3, None, 9, None, None])
+    found = jaccard.near_groups(docs, staging).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found) == [
+        (0, 0, 0), (0, 1, 0), (0, 1, 0), (3, 3, 3), (5, 3, 3), (5, 3, 3), (5, 4, 5), (9, 0, 9)]
+
+
+def test_keeps_one_of_each(spark, staging):
+    texts = ["one two three four five six", "one two three four five six", None, "", "seven eight"]
+    docs = make_docs(spark, texts + ["seven eight"], ids=[4, 2, 7, 8, 9, 9])
+    kept = jaccard.keep_one_of_each(docs, staging)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
+    assert jaccard.keep_one_of_each(make_docs(spark, []), staging).collect() == []
+
+
+def test_empty_table(spark, staging):
+    assert jaccard.near_groups(make_docs(spark, []), staging).collect() == []
+
+
+def sets_of(a, b):
+    return [np.unique(np.array([*s], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in (a, b)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=200), st.sets(st.integers(0, 400), min_size=1, max_size=200))
+def test_bounds_never_rule_out_a_link(a, b):
+    x, y = sets_of(a, b)
+    both = len(a & b)
+    if 100 * both >= 75 * len(a | b):
+        assert jaccard.may_link(jaccard.parity_bits(x), jaccard.parity_bits(y), len(x), len(y))
+        prefixes = [set(s[: jaccard.prefix_length(len(s))].tolist()) for s in (x, y)]
+        assert prefixes[0] & prefixes[1]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=25))
+def test_components_match_brute_force(spark, staging_factory, links):
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.component for r in components.components(frame, staging_factory()).collect()}
+    least = {n: n for pair in links if pair[0] != pair[1] for n in pair}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found == least

@@ -1,0 +1,66 @@
+from stagepath.llm import checks_sql, quality
+from tests.llm.helpers import as_set, make_docs, oracle_rows, with_clashes
+
+COLUMNS = (
+    "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"
+    " removed_words removed_lines"
+).split()
+
+
+def judged(spark, staging, docs, limits=quality.Limits()):
+    return [r.asDict() for r in quality.judge(with_clashes(docs), staging, limits).select(*COLUMNS).collect()]
+
+
+def prose(i, n=60):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_odd_texts_match_sql(spark, staging):
+    texts = [
+        None, "", " \t\n\r\x0b\x0c ", "a", "a a a a", "a b a b a b", "one two three\none two three\n\n \n",
+        "# * $ % & | < >", "é 漢   x\x1cy", "x\n" * 70, "a b c " * 30, "Same Line\nsame  line\n" + prose(1),
+    ] + [prose(i) + "\nShared  by\tALL of them" for i in range(25)]
+    sources = ["s"] * 20 + [None] * (len(texts) - 20)
+    docs = make_docs(spark, texts, sources)
+    limits = quality.Limits()
+    assert as_set(judged(spark, staging, docs, limits)) == as_set(
+        oracle_rows(checks_sql.QUALITY_RULES, {"documents": docs.toPandas()})
+    )
+
+
+def test_shared_lines_go_and_depleted_documents_too(spark, staging):
+    notice = " ".join(["notice"] + [f"n{j}" for j in range(59)])
+    texts = [f"{prose(i)}\n{notice}" for i in range(22)] + [f"{prose(99, 10)}\n{notice}", prose(7)]
+    found = {r["doc_id"]: r for r in judged(spark, staging, make_docs(spark, texts))}
+    assert found[0]["removed_words"] == 60 and found[0]["kept"]
+    assert not found[22]["kept"] and not found[22]["base_failed"]
+    assert found[23]["removed_lines"] == 0
+    cleaned = {r.doc_id: r for r in quality.clean(make_docs(spark, texts), staging).collect()}
+    assert set(cleaned) == set(range(24)) - {22}
+    assert cleaned[0].text == prose(0) and cleaned[0].n_chars == len(prose(0))
+    assert cleaned[23].text == prose(7)
+
+
+def test_copies_of_a_text_count_once(spark, staging):
+    texts = [prose(1) + "\n" + prose(2)] * 40
+    found = judged(spark, staging, make_docs(spark, texts))
+    assert len(found) == 40 and all(r["kept"] and not r["removed_lines"] for r in found)
+    assert quality.clean(make_docs(spark, texts, ids=[1] * 40), staging).count() == 40
+
+
+def test_null_hosts_and_ids_are_cleaned(spark, staging):
+    texts = [f"{prose(i)}\nshared by many" for i in range(22)]
+    docs = make_docs(spark, texts, [None] * 22, ids=[None] * 22)
+    cleaned = quality.clean(docs, staging).collect()
+    assert sorted(r.text for r in cleaned) == sorted(prose(i) for i in range(22))
+
+
+def test_empty_table(spark, staging):
+    docs = make_docs(spark, [])
+    assert judged(spark, staging, docs) == []
+    assert quality.clean(docs, staging).collect() == []
+
+
+def test_long_repetitive_text(spark, staging):
+    (row,) = judged(spark, staging, make_docs(spark, ["same words again " * 40_000]))
+    assert row["n_repeat_words"] == row["n_words"] == 120_000 and row["base_failed"]

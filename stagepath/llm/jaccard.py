@@ -28,7 +28,8 @@ FILTER_PLACES = 1 << 23
 BANDS, ROWS = 8, 3
 CUTS = 8
 FRAGMENT_GRAMS = 1 << 22
-CACHED_WORDS = 1 << 20
+#: What a task holds before it sends.
+HELD_GRAMS = 1 << 20
 
 _RANDOM = np.random.default_rng(90210)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,21 +37,37 @@ _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint
 SKETCH = "doc_id long, node long, n long, bands array<long>, bits binary"
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
 @cache
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64, for texts of up to 2^bits bytes."""
+    base = 0xD1342543DE82EF95
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(1 << bits, factor, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text, A-Z lower-cased.
+
+    A word's bytes are the digits of a number modulo 2^64, taken from sums over the whole text.
+    """
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    inside = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(max(12, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def gram_set(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -58,18 +75,18 @@ def gram_set(text: str | None, n: int = WORDS) -> np.ndarray:
 
     A text of fewer words is one n-gram; without words the set is empty.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _word_hashes()
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    grams = np.full(len(words) - size + 1, size, np.uint64)
-    for j in range(size):
-        grams = _mix(grams * np.uint64(3) + hashes[j : len(hashes) - size + 1 + j])
-    return np.unique(grams)
+    hashes = word_hashes(text or "")
+    if not len(hashes):
+        return hashes
+    size = min(n, len(hashes))
+    # Each place in an n-gram has an odd factor of its own.
+    grams = hashes[: len(hashes) - size + 1] * np.uint64(2 * size + 1)
+    factor = 1
+    for j in range(1, size):
+        factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        grams = grams + hashes[j : len(hashes) - size + 1 + j] * np.uint64(factor)
+    grams = np.sort(_mix(grams))
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -82,7 +99,10 @@ def _node(grams: np.ndarray) -> int:
 
 
 def _bands(grams: np.ndarray) -> list[int]:
-    least = [int((grams * factor).min()) for factor in _FACTORS]
+    step = max(1, HELD_GRAMS // len(grams))
+    least = np.concatenate([
+        (grams * _FACTORS[low : low + step, None]).min(axis=1) for low in range(0, len(_FACTORS), step)
+    ]).tolist()
     return [
         xxhash.xxh64_intdigest(repr((band, least[band * ROWS : (band + 1) * ROWS])).encode()) - (1 << 63)
         for band in range(BANDS)
@@ -196,7 +216,7 @@ def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int)
         for grams in _grams_of(batches, words):
             held.append(grams)
             size += len(grams)
-            if size > FRAGMENT_GRAMS:
+            if size > HELD_GRAMS:
                 yield send()
                 held, size = [], 0
         if held:
@@ -269,7 +289,7 @@ def shared_prefixes(
             held.append(grams[:length])
             owners.append(node)
             size += length
-            if size > FRAGMENT_GRAMS:
+            if size > HELD_GRAMS:
                 yield send()
                 held, owners, size = [], [], 0
         if held:
@@ -340,7 +360,7 @@ class _Verifier:
                     for cut, at in _split(grams, CUTS):
                         rows.append((node, len(grams), cut, grams[at].view(np.int64)))
                     size += len(grams)
-                    if size > FRAGMENT_GRAMS // 4:
+                    if size > HELD_GRAMS // 4:
                         yield _batch(schema, rows)
                         rows, size = [], 0
                 yield _batch(schema, rows)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 16
 CACHED_SEGMENTS = 1 << 19
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 22
+INDEXED_CHARS = 1 << 19
 
 _NONE = -1  # before a segment
 _FAR = -2  # no edge has reached this place
@@ -38,7 +40,8 @@ class Vocabulary:
     byte_ids: np.ndarray
     runs: list[list[int]]  # model ids of runs of marks, by length below the longest
     run_ids: dict[int, int]  # model id of each run's piece, and its length
-    codes: dict[str, int] = field(default_factory=dict)
+    codes: dict[str, int]
+    digest: str
 
     @property
     def unknown(self) -> int:
@@ -110,6 +113,7 @@ def load(path: str) -> Vocabulary:
         [[number[p] for p in _merge([MARK] * n, run_score)] for n in range(max(map(len, runs), default=1) + 1)],
         {number[p]: len(p) for p in runs},
         {c: i + 2 for i, c in enumerate(sorted({c for p in kept for c in p}))},
+        hashlib.sha256(repr(sorted(number.items())).encode()).hexdigest(),
     )
 
 
@@ -200,7 +204,18 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, segments: list[str]) -> None:
-        """Adds segments, each a mark and what follows it, to the cache."""
+        """Adds segments, each a mark and what follows it, to the cache, a bounded text at a time."""
+        part, size = [], 0
+        for segment in segments:
+            part.append(segment)
+            size += len(segment) + 2
+            if size > INDEXED_CHARS:
+                self._learn_part(part)
+                part, size = [], 0
+        if part:
+            self._learn_part(part)
+
+    def _learn_part(self, segments: list[str]) -> None:
         ids, counts = encode_segments(self, segments)
         ends = np.cumsum(counts)
         self.starts = np.concatenate([self.starts, len(self.ids) + ends - counts])
@@ -258,6 +273,17 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(words: Vocabulary) -> Encoder:
+    """One encoder for all tasks of a worker; another vocabulary takes its place."""
+    if words.digest not in _encoders:
+        _encoders.clear()
+        _encoders[words.digest] = Encoder(words)
+    return _encoders[words.digest]
+
+
 def encode_segments(encoder: Encoder, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Model ids of all segments in a row, and how many each has; a mark goes before each segment.
 
@@ -346,7 +372,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
 
         def done(keys: list, texts: list[str]) -> pa.RecordBatch:
             found = list(encoder.encode(texts))

@@ -261,12 +261,6 @@ def oracle_sql() -> dict[str, str]:
             "union all select 'mart', count(*), sum(cart_flag)::bigint, "
             "sum(purchase_flag)::bigint from mart"
         ),
-        "mart_schema": (
-            "select column_name, case column_type when 'VARCHAR' then 'string' "
-            "when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' "
-            "when 'TIMESTAMP' then 'timestamp_ntz' end as column_type "
-            f"from (describe {_pairs(f'select {MART_COLUMNS} from mart')})"
-        ),
         "mart_sample": _pairs(
             f"select {MART_COLUMNS} from mart "
             "order by user_session, product_id nulls first limit 5"
@@ -385,8 +379,8 @@ def oracle_sql() -> dict[str, str]:
               from cells
             )
             select round(x, 6) as chi2, dof,
-              round(case dof when 2 then exp(-x / 2) when 4 then exp(-x / 2) * (1 + x / 2) end, 6)
-                as p_value,
+              cast(printf('%.5e', case dof when 2 then exp(-x / 2)
+                when 4 then exp(-x / 2) * (1 + x / 2) end) as double) as p_value,
               round(sqrt(x / n), 6) as cramers_v
             from test"""
         ),

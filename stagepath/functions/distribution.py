@@ -16,7 +16,9 @@ Stat = float | str | Callable[[Column], Column]
 # values. There are about 2,100 doublings on either side of zero, which bounds
 # the number of buckets.
 _BUCKETS_PER_DOUBLING = 2**10
-_SLICES_PER_BUCKET = 2**18
+_SLICE_BITS = 18
+_SLICES_PER_BUCKET = 2**_SLICE_BITS
+_RANGE_BITS = 10
 _SLICES_PER_DOUBLING = _BUCKETS_PER_DOUBLING * _SLICES_PER_BUCKET
 _SMALLEST = 1_100 * _SLICES_PER_DOUBLING
 _BEYOND = 10 * _SMALLEST
@@ -66,7 +68,8 @@ def distribution(
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_slice", _slice(v))
-        .withColumn("_bucket", F.floor(F.col("_slice") / _SLICES_PER_BUCKET))
+        # Never NULL either, as a division would be.
+        .withColumn("_bucket", F.shiftright("_slice", _SLICE_BITS))
     )
     moments = {
         "count": (F.sum(n), F.sum),
@@ -83,12 +86,16 @@ def distribution(
 
     whole = Window.partitionBy(*by)
     bucket = "_value" if few_values else "_bucket"
-    buckets = (
-        counts.groupBy(*by, bucket)
-        .agg(F.sum(n).alias("_n"), *(part.alias(name) for name, (part, _) in totals.items()))
-        .withColumn("_before", _before(by, bucket))
-        .withColumns({name: merge(name).over(whole) for name, (_, merge) in totals.items()})
+    merges = {name: merge for name, (_, merge) in totals.items()}
+    buckets = counts.groupBy(*by, bucket).agg(
+        F.sum(n).alias("_n"), *(part.alias(name) for name, (part, _) in totals.items())
     )
+    if few_values or by:
+        buckets = buckets.withColumn("_before", _before(by, bucket)).withColumns(
+            {name: merge(name).over(whole) for name, merge in merges.items()}
+        )
+    else:
+        buckets = _ordered_in_ranges(buckets, merges)
     quantiles = {name: stat for name, stat in stats.items() if isinstance(stat, float)}
     if quantiles and not few_values:
         rows = _rows_in(counts, buckets, [*by, "_bucket"], by, quantiles)
@@ -115,6 +122,29 @@ def distribution(
     return rows.groupBy(*by).agg(*(result(name, stat).alias(name) for name, stat in stats.items()))
 
 
+def _ordered_in_ranges(buckets: DataFrame, merges: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """`_before` and the totals of the buckets of a single group, without one task for them all.
+
+    Buckets are added up in ranges, of which there are a few thousand at most; those are put
+    in order, and then the buckets within each range.
+    """
+    ranged = buckets.withColumn("_range", F.shiftright("_bucket", _RANGE_BITS))
+    whole = Window.partitionBy()
+    ranges = (
+        ranged.groupBy("_range")
+        .agg(F.sum("_n").alias("_n"), *(merge(name).alias(name) for name, merge in merges.items()))
+        .withColumn("_range_before", _before([], "_range"))
+        .withColumns({name: merge(name).over(whole) for name, merge in merges.items()})
+        .drop("_n")
+    )
+    return (
+        ranged.drop(*merges)
+        .join(F.broadcast(ranges), "_range")
+        .withColumn("_before", F.col("_range_before") + _before(["_range"], "_bucket"))
+        .drop("_range", "_range_before")
+    )
+
+
 def _before(group: list[str], order: str) -> Column:
     """Observations in front of a row of its group."""
     upto = (

@@ -54,25 +54,36 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
     """P(X >= x) for a chi-square variable with any positive whole `dof`.
 
     The tail grows by (x/2)^a e^(-x/2) / Gamma(a + 1) for every two degrees of
-    freedom, starting from 0 (even dof) or from erfc(sqrt(x/2)) (odd dof).
+    freedom, starting from 0 (even dof) or from erfc(sqrt(x/2)) (odd dof). The
+    addends are kept as logarithms and added with the largest factored out, as
+    the first of them underflow long before their sum does.
     """
     half = x / 2.0
     is_odd = dof % 2 == 1
     start = F.when(is_odd, 0.5).otherwise(0.0)
     # First addend, at a = 0 (even) or a = 1/2 (odd): Gamma(3/2) = sqrt(pi)/2.
     first = F.when(
-        is_odd, F.exp(-half) * F.sqrt(half) * (2.0 / math.sqrt(math.pi))
-    ).otherwise(F.exp(-half))
+        is_odd, F.log(half) / 2.0 - half + math.log(2.0 / math.sqrt(math.pi))
+    ).otherwise(-half)
     steps = F.floor(dof / 2).cast("int")
-    tail = F.aggregate(
+    summed = F.aggregate(
         F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
-        F.struct(first.alias("term"), F.lit(0.0).alias("total")),
+        F.struct(first.alias("term"), first.alias("largest"), F.lit(0.0).alias("total")),
         lambda acc, i: F.struct(
-            (acc["term"] * half / (start + i)).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
+            (acc["term"] + F.log(half) - F.log(start + i)).alias("term"),
+            F.greatest(acc["largest"], acc["term"]).alias("largest"),
+            (
+                acc["total"] * F.exp(acc["largest"] - F.greatest(acc["largest"], acc["term"]))
+                + F.exp(acc["term"] - F.greatest(acc["largest"], acc["term"]))
+            ).alias("total"),
         ),
-        lambda acc: acc["total"],
+        lambda acc: acc["total"] * F.exp(acc["largest"]),
     )
-    tail = F.when(steps >= 1, tail).otherwise(0.0)
+    tail = F.when(steps >= 1, summed).otherwise(0.0)
     base = F.when(is_odd, _erfc(F.sqrt(half))).otherwise(0.0)
-    return F.when(dof >= 1, base + tail)
+    return F.when((dof >= 1) & (x <= 0), 1.0).when(dof >= 1, base + tail)
+
+
+def significant(value: Column, digits: int) -> Column:
+    """The double nearest to a value's decimal form with so many significant digits."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits - 1}e", value).cast("double"))

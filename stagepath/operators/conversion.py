@@ -71,32 +71,29 @@ def funnel_totals(mart: DataFrame) -> DataFrame:
     )
 
 
-def stage_row_checks(mart: DataFrame) -> DataFrame:
-    """Rows and conversions after each step of the build, from one scan."""
-    counts = mart.agg(
-        F.count("*").alias("pairs"),
-        F.count("first_valid_cart").alias("carts"),
-        F.count("first_valid_purchase").alias("purchases"),
-        F.sum("cart_flag").alias("cart_flags"),
-        F.sum("purchase_flag").alias("purchase_flags"),
-    )
+def stage_row_checks(
+    views: DataFrame, carts: DataFrame, purchases: DataFrame, mart: DataFrame
+) -> DataFrame:
+    """Rows and conversions after each step of the build, each counted in that step's own table.
+
+    A step that loses or doubles pairs has another total than the step before.
+    """
     nothing = F.lit(None).cast("long")
-    steps = {
-        "view": ("pairs", nothing, nothing),
-        "cart": ("pairs", "carts", nothing),
-        "purchase": ("pairs", "carts", "purchases"),
-        "mart": ("pairs", "cart_flags", "purchase_flags"),
-    }
-    rows = [
-        F.struct(
-            F.lit(stage).alias("stage"),
-            F.col(total).alias("total"),
-            (F.col(carts) if isinstance(carts, str) else carts).alias("cart_count"),
-            (F.col(bought) if isinstance(bought, str) else bought).alias("purchase_count"),
+
+    def counted(frame: DataFrame, stage: str, cart: Column, purchase: Column) -> DataFrame:
+        return frame.agg(
+            F.count("*").alias("total"), cart.alias("cart_count"), purchase.alias("purchase_count")
+        ).select(F.lit(stage).alias("stage"), "*")
+
+    reached = F.count("first_valid_cart")
+    return (
+        counted(views, "view", nothing, nothing)
+        .unionByName(counted(carts, "cart", reached, nothing))
+        .unionByName(counted(purchases, "purchase", reached, F.count("first_valid_purchase")))
+        .unionByName(
+            counted(mart, "mart", F.sum("cart_flag").cast("long"), F.sum("purchase_flag").cast("long"))
         )
-        for stage, (total, carts, bought) in steps.items()
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    )
 
 
 def mart_schema(mart: DataFrame) -> DataFrame:

@@ -56,6 +56,30 @@ def next_stage(
     )
 
 
+def follow(pairs: DataFrame, events: DataFrame, funnel: Funnel = FUNNEL) -> DataFrame:
+    """`pairs` plus the first valid time of every later stage, from `later_events`.
+
+    `pairs` has one row per pair. Its events begin at the first view, so the first
+    stage after it is a plain minimum; each further stage is the minimum of
+    the times at or after the one before. Nothing is written in between: what a
+    stage needs of the one before is one row per pair.
+    """
+    keys, found, before = list(funnel.keys), pairs, None
+    for stage in funnel.later:
+        times = events.where(F.col("event_type") == stage)
+        if before is not None:
+            after, reached = before
+            times = times.join(reached, keys).where(F.col(TIME) >= F.col(after))
+        first = (
+            times.groupBy(F.struct(*keys).alias("pair"))
+            .agg(F.min(TIME).alias(funnel.reached(stage)))
+            .select("pair.*", funnel.reached(stage))
+        )
+        found = found.join(first, keys, "left")
+        before = funnel.reached(stage), first
+    return found.select(*pairs.columns, *(funnel.reached(stage) for stage in funnel.later))
+
+
 def later_events(pairs: DataFrame, ev: DataFrame, funnel: Funnel = FUNNEL) -> DataFrame:
     """When the given pairs had events of the later stages, from their first view
     on, each time once.

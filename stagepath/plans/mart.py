@@ -14,12 +14,15 @@ def ordered_stages(
     staging: Staging,
     funnel: Funnel = FUNNEL,
     attributes: dict[str, str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per viewed pair with the time at which it reached each stage.
 
     One pass over the log decides nearly every pair. Pairs whose events of a
     stage lie on both sides of the stage before go back to the log once, for
-    their events of the later stages, and are followed stage by stage in those.
+    their events of the later stages, and are followed stage by stage in those,
+    in one plan, the result of which is written only if `stored`, for a mart that
+    is read often.
     The first pass is written split by `open`: the small part then has a known
     size, so Spark broadcasts it when it fits and shuffles it when it does not.
     """
@@ -33,15 +36,21 @@ def ordered_stages(
 
     later = [funnel.reached(stage) for stage in funnel.later]
     events = staging.save(stages.later_events(pending, ev, funnel), "pending-events")
-    resolved, after = pending.drop("open", *later), funnel.reached(funnel.first)
-    for stage in funnel.later:
-        resolved = staging.save(
-            stages.next_stage(resolved, events, stage, after, funnel), f"resolved-{stage}"
-        )
-        after = funnel.reached(stage)
+    resolved = stages.follow(pending.drop("open", *later), events, funnel)
+    if stored:
+        resolved = staging.save(resolved, "resolved")
     return decided.unionByName(resolved)
 
 
+def build_steps(
+    ev: DataFrame, staging: Staging, funnel: Funnel = FUNNEL
+) -> tuple[DataFrame, ...]:
+    """The pairs after each stage, each built from the log by itself."""
+    steps = [stages.first_stage(ev, funnel.first)]
+    steps += [ordered_stages(ev, staging, funnel.upto(stage)) for stage in funnel.later]
+    return tuple(steps)
+
+
 def build_mart(ev: DataFrame, staging: Staging, funnel: Funnel = FUNNEL) -> DataFrame:
     """The mart: stage times and 0/1 flags per pair."""
     pairs = ordered_stages(ev, staging, funnel)
@@ -54,8 +63,8 @@ def build_enriched_mart(
     funnel: Funnel = FUNNEL,
     attributes: dict[str, str] = FIRST_VIEW_ATTRIBUTES,
 ) -> DataFrame:
-    """The mart plus price, category and brand at each pair's first view."""
-    pairs = ordered_stages(ev, staging, funnel, attributes)
+    """The mart plus price, category and brand at each pair's first view, stored."""
+    pairs = ordered_stages(ev, staging, funnel, attributes, stored=True)
     return stages.with_flags(pairs, funnel).select(
         *stages.mart_columns(funnel), *attributes.values()
     )

@@ -10,10 +10,12 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stagepath.model import FUNNEL
 from stagepath.operators import conversion, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
-from stagepath.sources.event_log import ingest_events, read_log
+from stagepath.sources.event_log import Logs, ingest_events, labelled
 from stagepath.staging import Staging
 
 # The categories that are analysed on their own.
@@ -21,7 +23,7 @@ CATEGORIES = ("construction.tools.light", "sport.bicycle")
 
 
 def log_reports(log: DataFrame) -> dict[str, DataFrame]:
-    """Profiles of a CSV log, per file."""
+    """Profiles of ingested logs, one row per log."""
     return {
         "Events per file": profile.log_profile(log, "source_file"),
         "Event types per file": profile.event_type_share(log, "source_file"),
@@ -48,16 +50,20 @@ def mart_reports(
     em: DataFrame,
     sessions: DataFrame,
     ev: DataFrame,
+    steps: tuple[DataFrame, ...],
     categories: Sequence[str] = CATEGORIES,
+    baseline: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Everything that is read off the enriched mart and its sessions."""
+    """Everything that is read off the enriched mart and its sessions. `steps` are the pairs
+    after each stage; planning starts from `baseline`, or from the measured one."""
     mart = em.select(stages.mart_columns())
-    baseline = depth.multi_view_baseline(sessions)
+    measured = depth.multi_view_baseline(sessions)
+    baseline = measured if baseline is None else baseline
     crosstab = depth.depth_cart_crosstab(sessions)
     reports = {
         "Mart columns": conversion.mart_schema(mart),
         "Mart sample": conversion.mart_sample(mart),
-        "Rows after each step": conversion.stage_row_checks(em),
+        "Rows after each step": conversion.stage_row_checks(*steps, em),
         "Events at the first view": conversion.first_view_events(em, ev),
         "Funnel": conversion.funnel_totals(em),
         "Known first-view attributes": segments.first_view_coverage(em),
@@ -82,7 +88,7 @@ def mart_reports(
         "Cart rate per session by depth": depth.depth_cart_rate(sessions),
         "Purchase rate per session by depth": depth.depth_purchase_rate(sessions),
         "Top categories by price band": segments.top_category_price_conversion(em),
-        "Baseline of comparing sessions": baseline,
+        "Baseline of comparing sessions": measured,
         "Targets": experiment.uplift_targets(baseline),
         "Sample size of the fixed target": experiment.sample_size_fixed(baseline),
         "Sample size by uplift": experiment.sample_size_by_uplift(baseline),
@@ -90,33 +96,70 @@ def mart_reports(
     return reports
 
 
+def given_baseline(spark: SparkSession, cart: float, purchase: float) -> DataFrame:
+    """A baseline in percent that was not measured here."""
+    return spark.createDataFrame(
+        [(cart, purchase)], "view_to_cart_rate double, view_to_purchase_rate double"
+    )
+
+
 def run(
-    spark: SparkSession, logs: Sequence[str], month: str, tables: str
+    spark: SparkSession,
+    logs: Logs,
+    month: str,
+    tables: str,
+    baseline: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Ingests `month`, stores its mart, and returns all reports by title."""
-    ev = ingest_events(spark, month, f"{tables}/events")
-    staging = Staging(spark)
-    em = mart_plan.write_mart(
-        mart_plan.build_enriched_mart(ev, staging), f"{tables}/funnel_session_product"
-    )
-    sessions = staging.save(depth.sessions(em), "sessions")
+    """Ingests the logs once, stores the mart of the one called `month`, and returns all
+    reports by title.
+
+    `month` is the label or the path of one of the logs. All reports read stored
+    tables under `tables`; what the build of the mart leaves is removed.
+    """
+    known = labelled(logs)
+    label = next((name for name, paths in known.items() if month in (name, *paths)), None)
+    if label is None:
+        raise ValueError(f"{month} is none of the logs {sorted(known)}")
+    log = ingest_events(spark, logs, f"{tables}/events", by_source=True)
+    ev = log.where(F.col("source_file") == label).drop("source_file")
+    with Staging(spark) as staging:
+        em = mart_plan.write_mart(
+            mart_plan.build_enriched_mart(ev, staging), f"{tables}/funnel_session_product"
+        )
+        steps = tuple(
+            mart_plan.write_mart(step, f"{tables}/step_{stage}")
+            for stage, step in zip(FUNNEL.stages, mart_plan.build_steps(ev, staging), strict=True)
+        )
+    sessions = mart_plan.write_mart(depth.sessions(em), f"{tables}/sessions")
     return (
-        log_reports(read_log(spark, logs))
+        log_reports(log)
         | event_reports(ev)
-        | mart_reports(em, sessions, ev)
+        | mart_reports(em, sessions, ev, steps, baseline=baseline)
     )
 
 
+def print_rows(frame: DataFrame) -> None:
+    """Prints every row, one partition at a time."""
+    print(" | ".join(frame.columns))
+    for row in frame.toLocalIterator():
+        print(" | ".join("NULL" if value is None else str(value) for value in row))
+
+
 def main() -> None:
     options = argparse.ArgumentParser(description=__doc__)
     options.add_argument("--logs", nargs="+", required=True, help="CSV logs to profile")
-    options.add_argument("--month", required=True, help="the CSV log to analyse")
+    options.add_argument("--month", required=True, help="the one of the logs to analyse")
     options.add_argument("--tables", required=True, help="folder for the events and the mart")
+    options.add_argument(
+        "--baseline", nargs=2, type=float, metavar=("CART", "PURCHASE"),
+        help="rates in percent to plan from, instead of the measured ones",
+    )
     given = options.parse_args()
     spark = SparkSession.builder.appName("stagepath").getOrCreate()
-    for title, frame in run(spark, given.logs, given.month, given.tables).items():
+    baseline = given_baseline(spark, *given.baseline) if given.baseline else None
+    for title, frame in run(spark, given.logs, given.month, given.tables, baseline).items():
         print(f"\n{title}")
-        frame.show(100, truncate=False)
+        print_rows(frame)
 
 
 if __name__ == "__main__":

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stagepath.functions.distribution import distribution
-from stagepath.functions.numeric import chi_square_tail, percent, round_at
+from stagepath.functions.numeric import chi_square_tail, percent, round_at, significant
 from stagepath.operators import experiment
 
 
@@ -44,6 +44,19 @@ def test_chi_square_tail(spark):
     assert spark.range(1).select(chi_square_tail(F.lit(1.0), F.lit(0))).first()[0] is None
 
 
+def test_chi_square_tail_with_many_degrees(spark):
+    """At x = dof the tail is near a half; known values from the normal limit of the cube root."""
+    frame = spark.createDataFrame([(float(k), k) for k in (500, 1499, 1500, 2001, 3000, 10_000)], "x double, k bigint")
+    for row in frame.withColumn("p", chi_square_tail(F.col("x"), F.col("k"))).collect():
+        z = (2 / (9 * row.k)) ** 0.5
+        assert row.p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_significant_digits(spark):
+    frame = spark.createDataFrame([(1.1412345678e-83,), (0.0,), (None,), (123456.7,)], "p double")
+    assert [r[0] for r in frame.select(significant(F.col("p"), 4)).collect()] == [1.141e-83, 0.0, None, 123500.0]
+
+
 def test_chi_square_known_table(spark):
     crosstab = spark.createDataFrame(
         [("1", 4, 535), ("2-3", 8, 1219), ("4-6", 14, 656), ("7-20", 71, 1267), ("21+", 212, 968)],

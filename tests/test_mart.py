@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stagepath.functions.bands import price_band
 from stagepath.model import FUNNEL, Funnel
 from stagepath.operators import conversion, depth, profile, segments, stages
-from stagepath.plans.mart import build_enriched_mart, build_mart, ordered_stages
+from stagepath.plans.mart import build_enriched_mart, build_mart, build_steps, ordered_stages
 from stagepath.staging import Staging
 from tests.conftest import at, make_events
 
@@ -212,9 +212,19 @@ def test_counts_fit_together(spark, edge_mart):
     crosstab = depth.depth_cart_crosstab(depth.sessions(edge_mart))
     assert total(crosstab, "cart_yes") == totals.cart_count
     assert total(crosstab, "cart_no") == totals.view_count - totals.cart_count
-    checks = {r.stage: r for r in conversion.stage_row_checks(edge_mart).collect()}
-    assert {r.total for r in checks.values()} == {totals.view_count}
-    assert checks["purchase"].purchase_count == checks["mart"].purchase_count
+
+
+@pytest.mark.parametrize("lost", [None, "view", "cart", "purchase", "mart"])
+def test_stage_row_checks_show_a_lost_pair(edge_events, edge_mart, staging, lost):
+    steps = dict(zip(["view", "cart", "purchase"], build_steps(edge_events, staging), strict=True))
+    steps["mart"] = edge_mart
+    if lost is not None:
+        steps[lost] = steps[lost].where("NOT (user_session = 'A' AND product_id = 1)")
+    checks = {r.stage: r for r in conversion.stage_row_checks(*steps.values()).collect()}
+    assert {stage for stage, r in checks.items() if r.total != 12} == ({lost} - {None})
+    assert checks["view"].cart_count is None and checks["cart"].purchase_count is None
+    bought = {stage: r.purchase_count for stage, r in checks.items() if stage in ("purchase", "mart")}
+    assert bought == {stage: 2 - (stage == lost) for stage in bought}
 
 
 def test_mart_columns(spark, edge_events):

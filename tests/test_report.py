@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from stagepath.plans import report
 from tests.conftest import at
 from tests.test_sources import log_file
@@ -29,6 +31,27 @@ def test_all_reports_from_csv(spark, tmp_path):
     assert {r.source_file for r in rows["Events per file"]} == {"nov.csv.gz", "dec.csv.gz"}
     pairs = rows["Funnel"][0].view_count
     assert sum(r.view_count for r in rows["Price bands"]) == pairs
-    # A second run keeps the events and replaces the mart.
-    again = report.run(spark, logs, logs[0], str(tmp_path / "tables"))
-    assert again["Funnel"].first().view_count == pairs
+    # A second run over the same logs keeps the events, also for another month.
+    again = report.run(spark, logs, "nov.csv.gz", str(tmp_path / "tables"))
+    assert again["Rows"].first().total_rows == 400
+    assert again["Events per file"].collect() == rows["Events per file"]
+    fresh = report.run(spark, logs, logs[0], str(tmp_path / "other"))
+    assert again["Funnel"].collect() == fresh["Funnel"].collect()
+    # Other logs never meet these tables.
+    with pytest.raises(ValueError):
+        report.run(spark, logs[:1], logs[0], str(tmp_path / "tables"))
+    with pytest.raises(ValueError):
+        report.run(spark, logs, "jan.csv.gz", str(tmp_path / "tables"))
+
+
+def test_given_baseline(spark, tmp_path):
+    logs = [log_file(tmp_path, "dec.csv.gz", lines(1))]
+    baseline = report.given_baseline(spark, 4.08, 1.73)
+    reports = report.run(spark, logs, logs[0], str(tmp_path / "tables"), baseline)
+    sizes = {r.uplift_pct: r.total_n for r in reports["Sample size by uplift"].collect()}
+    assert sizes == {5: 301956, 10: 77248, 15: 35112}
+
+
+def test_every_row_is_printed(spark, capsys):
+    report.print_rows(spark.range(250))
+    assert capsys.readouterr().out.split() == ["id", *map(str, range(250))]

@@ -1,6 +1,7 @@
 """CSV logs, ingestion and staging."""
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from stagepath.model import EVENT_SCHEMA
 from stagepath.operators import profile
 from stagepath.sources.event_log import ingest_events, read_log, write_log
+from stagepath.sources.event_table import canonical_events
 from stagepath.staging import CHECKPOINT_DIR, Staging
-from tests.conftest import EDGE_ROWS, at
+from tests.conftest import EDGE_ROWS, TESTDATA, at
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session"
 LINES = [
@@ -74,13 +76,76 @@ def test_wrong_header_fails(spark, tmp_path):
         read_log(spark, path).collect()
 
 
-def test_ingest_keeps_an_existing_table(spark, tmp_path):
-    table = str(tmp_path / "events")
-    first = ingest_events(spark, log_file(tmp_path, "a.csv.gz", LINES), table)
+def test_doubled_quotes(spark, tmp_path):
+    rows = ['2019-12-01 00:00:00 UTC,view,1,,,"x ""y"" z",1,5,aa',
+            '2019-12-01 00:00:00 UTC,view,2,,,"x ""y"", z",1,5,aa',
+            '2019-12-01 00:00:00 UTC,view,3,,,a\\,1,5,"b\\"']
+    log = read_log(spark, log_file(tmp_path, "quoted.csv.gz", rows)).orderBy("product_id")
+    assert [r.brand for r in log.collect()] == ['x "y" z', 'x "y", z', "a\\"]
+    write_log(log, str(tmp_path / "again"))
+    again = read_log(spark, str(tmp_path / "again")).orderBy("product_id")
+    assert again.drop("source_file").collect() == log.drop("source_file").collect()
+
+
+def test_many_files_and_labels(spark, tmp_path):
+    for month in ("oct", "nov"):
+        (tmp_path / month).mkdir()
+    oct_, nov = (log_file(tmp_path / m, "part-0.csv.gz", LINES[:n]) for m, n in (("oct", 1), ("nov", 2)))
+    alike = read_log(spark, [oct_, nov])
+    assert {r.source_file: r["count"] for r in alike.groupBy("source_file").count().collect()} == {oct_: 1, nov: 2}
+    more = log_file(tmp_path / "oct", "part-1.csv.gz", LINES)
+    months = ingest_events(spark, {"oct": [oct_, more], "nov": nov}, str(tmp_path / "events"), by_source=True)
+    profiles = {r.source_file: r for r in profile.log_profile(months, "source_file").collect()}
+    # Users and sessions of a month are counted over all of its files.
+    assert (profiles["oct"].total_events, profiles["oct"].users) == (3, 1)
+    files = [log_file(tmp_path, f"{i}.csv.gz", LINES[:1]) for i in range(101)]
+    assert profile.log_profile(read_log(spark, files), "source_file").count() == 101
+
+
+def test_fractions_of_a_second_fail_the_write(spark, tmp_path, edge_events):
+    exact = edge_events.withColumn("event_time", F.expr("event_time + interval 123 milliseconds"))
+    with pytest.raises(Exception, match="whole seconds"):
+        write_log(exact, str(tmp_path / "log"))
+
+
+@pytest.mark.parametrize("report", [
+    lambda ev: profile.log_profile(ev, "source_file"), lambda ev: profile.event_type_share(ev, "source_file"),
+    profile.row_count,
+])
+def test_bad_rows_fail_every_profile(spark, tmp_path, report):
+    bad = log_file(tmp_path, "bad.csv.gz", [LINES[0], LINES[1].replace("0.00", "xx")])
+    with pytest.raises(Exception):
+        report(ingest_events(spark, bad, str(tmp_path / "events"), by_source=True)).collect()
+
+
+def test_ingest_keeps_a_finished_table_of_the_same_logs(spark, tmp_path):
+    table, path = str(tmp_path / "events"), log_file(tmp_path, "a.csv.gz", LINES)
+    first = ingest_events(spark, path, table)
     assert profile.row_count(first).first().total_rows == 2
     assert first.columns == EVENT_SCHEMA.names
-    again = ingest_events(spark, log_file(tmp_path, "b.csv.gz", LINES * 3), table)
-    assert profile.row_count(again).first().total_rows == 2
+    log_file(tmp_path, "a.csv.gz", LINES * 3)
+    assert profile.row_count(ingest_events(spark, path, table)).first().total_rows == 2
+    with pytest.raises(ValueError):
+        ingest_events(spark, log_file(tmp_path, "b.csv.gz", LINES), table)
+
+
+@pytest.mark.parametrize("mark", ["_SUCCESS", "_sources/_SUCCESS"])
+def test_unfinished_tables_are_ingested_again(spark, tmp_path, mark):
+    table, path = tmp_path / "events", log_file(tmp_path, "a.csv.gz", LINES)
+    ingest_events(spark, path, str(table))
+    (table / "_sources" / "_SUCCESS").unlink()
+    if mark == "_SUCCESS":
+        (table / mark).unlink()
+    log_file(tmp_path, "a.csv.gz", LINES * 3)
+    assert ingest_events(spark, path, str(table)).count() == 6
+
+
+def test_ingested_events_are_those_written(spark, tmp_path):
+    ev = canonical_events(spark, f"{TESTDATA}/sf0.001")
+    write_log(ev, str(tmp_path / "log"))
+    columns = [c for c in EVENT_SCHEMA.names if c != "event_id"]
+    got = ingest_events(spark, str(tmp_path / "log"), str(tmp_path / "events")).select(columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, ev.select(columns).collect()))
 
 
 def test_ingest_after_a_failed_one(spark, tmp_path):
@@ -120,3 +185,11 @@ def test_staging_uses_the_shared_folder(spark):
 def test_staging_keeps_empty_frames(spark, staging):
     empty = spark.range(0).withColumn("open", F.lit(True))
     assert staging.save(empty, "empty", partition_by="open").count() == 0
+
+
+def test_staging_removes_what_it_wrote(spark):
+    with Staging(spark) as staging:
+        first, second = (staging.save(spark.range(n), "same") for n in (1, 2))
+        assert (first.count(), second.count()) == (1, 2)
+        root = staging.root
+    assert not os.path.exists(root)

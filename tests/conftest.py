@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import glob
 import os
@@ -37,6 +38,19 @@ def staging(spark):
     return Staging(spark)
 
 
+@contextlib.contextmanager
+def settings(spark, **values):
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def at(seconds):
     return None if seconds is None else START + dt.timedelta(seconds=seconds)
 

@@ -1,7 +1,5 @@
 """What Spark makes of the operators: scans, shuffles, joins, skew."""
 
-import contextlib
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,20 +7,7 @@ from stagepath.operators import conversion, depth, profile, segments, stages
 from stagepath.plans.mart import build_enriched_mart
 from stagepath.sources.event_table import canonical_events
 from stagepath.staging import Staging
-from tests.conftest import TESTDATA, at, make_events
-
-
-@contextlib.contextmanager
-def settings(spark, **values):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+from tests.conftest import TESTDATA, at, make_events, settings
 
 
 @pytest.fixture(scope="module")

@@ -27,9 +27,9 @@ MAX_COMMON = 1 << 20
 FILTER_PLACES = 1 << 23
 BANDS, ROWS = 8, 3
 CUTS = 8
-FRAGMENT_GRAMS = 1 << 22
+FRAGMENT_GRAMS = 1 << 20
 #: What a task holds before it sends.
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 19
 
 _RANDOM = np.random.default_rng(90210)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,6 +164,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 else:
                     rows.append((doc_id, 0, 0, [], b""))
             yield _batch(schema, rows)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(sketch, SKETCH)
 
@@ -187,8 +188,8 @@ def _split(order: np.ndarray, fragments: int) -> Iterator[tuple[int, slice]]:
 
 
 def _marks(grams: np.ndarray, fragments: int) -> np.ndarray:
-    """What an n-gram is counted by: its fragment and 32 bits more. As a fragment holds some
-    millions of n-grams at any size of the corpus, one in a thousand shares its mark."""
+    """What an n-gram is counted by: its fragment and 32 bits more. As a fragment holds about a
+    million n-grams at any size of the corpus, few share their mark."""
     return grams >> np.uint64(33 - fragments.bit_length())
 
 
@@ -221,6 +222,7 @@ def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int)
                 held, size = [], 0
         if held:
             yield send()
+        pa.default_memory_pool().release_unused()
 
     def add_up(group: pa.Table) -> pa.Table:
         once, again, n = (
@@ -235,6 +237,7 @@ def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int)
         total = np.add.reduceat(counts, starts)
         many = total > COMMON
         fragment = group["fragment"][0].as_py()
+        pa.default_memory_pool().release_unused()
         return pa.table({"mark": marks[starts][many].astype(np.int64) + (fragment << 32), "n": total[many]})
 
     common = staging.save(
@@ -294,6 +297,7 @@ def shared_prefixes(
                 held, owners, size = [], [], 0
         if held:
             yield send()
+        pa.default_memory_pool().release_unused()
 
     def shared(group: pa.Table) -> pa.Table:
         grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]])

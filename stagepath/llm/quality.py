@@ -18,9 +18,10 @@ SYMBOLS = "#*$%&|<>"
 class Limits:
     """When a line is too frequent on its host, and when a document has lost too much.
 
-    A line goes if more than `min_documents` different texts of the host, and more than
-    `share` of them, hold it. A document is depleted if more than `max_removed` of
-    its words stand in such lines.
+    A line goes if more than `share` of the host's different texts, and more than
+    `min_documents`, hold it; or, whatever the size of the host, if more than `max_documents`
+    texts with different sketches do. A document is depleted if more than `max_removed`
+    of its words stand in such lines.
     """
 
     min_words: int = 50
@@ -28,6 +29,7 @@ class Limits:
     min_documents: int = 20
     share: float = 0.05
     max_removed: float = 0.5
+    max_documents: int = 50
 
 
 def _n_symbols(text: Column) -> Column:
@@ -40,10 +42,12 @@ def _n_dup_lines(text: Column) -> Column:
 
 
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and sketch.
 
     The 3-word windows of a text are sorted by hash, so equal ones lie side by side and
     a text of any length and repetition takes n log n steps. NULL text has no words.
+    The sketch is the smallest of these hashes, which near copies mostly have in common and
+    other texts do not; it is the hash of a text of fewer words.
     """
     kept = docs.columns
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -85,6 +89,7 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         _n_symbols(whole).cast("long").alias("n_symbols"),
         _n_dup_lines(whole).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
+        F.coalesce(F.get("_windows", F.lit(0)).hash, F.xxhash64(whole)).alias("sketch"),
     )
 
 
@@ -109,20 +114,29 @@ def normalised_lines(text: Column) -> Column:
 def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     """(host, line) of the lines above the limits.
 
-    `lines` has host, text and line hashes, a row per line of a text. Exact copies of a
-    text count once. Tasks send each (host, line, text) once, then counts per line.
+    `lines` has host, text and line hashes and the text's sketch, a row per line of a text.
+    Exact copies of a text count once, near copies of one sketch once against `max_documents`.
+    Tasks send each (host, line, text) once, then counts per sketch, then counts per line.
     """
     texts = lines.select("host", "text_hash").distinct().groupBy("host").agg(
         F.count("*").alias("n_texts")
     )
-    return (
-        lines.select("host", "line", "text_hash")
+    held = (
+        lines.select("host", "line", "sketch", "text_hash")
         .distinct()
+        .groupBy("host", "line", "sketch")
+        .agg(F.count("*").alias("n"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("n_with_line"))
-        .where(F.col("n_with_line") > limits.min_documents)
+        .agg(F.sum("n").alias("n_with_line"), F.count("*").alias("n_sketches"))
+    )
+    least = min(limits.min_documents, limits.max_documents)
+    shared = (F.col("n_with_line") > limits.min_documents) & (
+        F.col("n_with_line") > limits.share * F.col("n_texts")
+    )
+    return (
+        held.where(F.col("n_with_line") > least)
         .join(texts, "host")
-        .where(F.col("n_with_line") > limits.share * F.col("n_texts"))
+        .where(shared | (F.col("n_sketches") > limits.max_documents))
         .select("host", "line")
     )
 
@@ -158,12 +172,13 @@ def judge(
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
+        "sketch",
         normalised_lines(F.col("_text")).alias("lines"),
     )
     measured = staging.save(measured, "measures")
-    lines = measured.select("row", "host", "text_hash", F.explode("lines").alias("_line")).select(
-        "row", "host", "text_hash", "_line.*"
-    )
+    lines = measured.select(
+        "row", "host", "text_hash", "sketch", F.explode("lines").alias("_line")
+    ).select("row", "host", "text_hash", "sketch", "_line.*")
     frequent = staging.save(
         frequent_lines(lines.withColumnRenamed("n_words", "_n"), limits), "frequent-lines"
     )
@@ -178,7 +193,7 @@ def judge(
     )
     depleted = F.col("removed_words") > limits.max_removed * F.col("n_words")
     return (
-        measured.drop("lines")
+        measured.drop("lines", "sketch")
         .join(removed, "row", "left")
         .na.fill(0, ["removed_words", "removed_lines"])
         .withColumn("base_failed", base_failed(limits))

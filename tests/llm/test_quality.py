@@ -64,3 +64,20 @@ def test_empty_table(spark, staging):
 def test_long_repetitive_text(spark, staging):
     (row,) = judged(spark, staging, make_docs(spark, ["same words again " * 40_000]))
     assert row["n_repeat_words"] == row["n_words"] == 120_000 and row["base_failed"]
+
+
+def test_notice_on_few_hundredths_of_a_large_host_goes(spark, staging):
+    texts = [f"{prose(i)}\nAll  rights reserved" if i < 60 else prose(i) for i in range(2000)]
+    found = {r["doc_id"]: r for r in judged(spark, staging, make_docs(spark, texts))}
+    assert all(found[i]["removed_words"] == 3 and found[i]["removed_lines"] == 1 for i in range(60))
+    assert all(r["kept"] for r in found.values())
+    assert not any(found[i]["removed_lines"] for i in range(60, 2000))
+    cleaned = {r.doc_id: r.text for r in quality.clean(make_docs(spark, texts), staging).collect()}
+    assert cleaned == {i: prose(i) for i in range(2000)}
+
+
+def test_near_copies_on_a_large_host_are_no_notice(spark, staging):
+    texts = [f"{prose(0)}\n{prose(1)}\nedited {i}" for i in range(70)]
+    texts += [prose(i) for i in range(70, 2000)]
+    found = judged(spark, staging, make_docs(spark, texts))
+    assert not any(r["removed_lines"] for r in found) and all(r["kept"] for r in found)

@@ -50,6 +50,8 @@ BESIDE_NAMES = frozenset(
     " newsletter notice overlay popup promo promotion related sharing share sidebar signup"
     " skyscraper social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Those of them that no text of a page is in, however much of the page they hold.
+NEVER_TEXT = frozenset("comment comments consent cookie cookies disqus gdpr".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -58,6 +60,11 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: A class or id of readers' comments, and not of a page that allows them.
+_COMMENTS = re.compile(
+    r"(?!(?:allow|has|hide|no|with)[-_])(?:[a-z]+[-_])?(?:comments?|disqus)"
+    r"(?:[-_](?!open|closed|enabled|disabled|o[nf]).*)?"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -81,14 +88,46 @@ class Block:
     label: str = ""
 
 
-def _is_beside(tag: str, rest: str) -> bool:
-    if tag in BESIDE:
-        return True
-    for match in _NAMES.finditer(rest):
-        words = re.split(r"[^a-z]+", (match[1] or match[2] or match[3] or "").lower())
-        if not BESIDE_NAMES.isdisjoint(words):
-            return True
-    return False
+@dataclass
+class Named:
+    """An element whose class, id or role names what stands beside the text."""
+
+    outer: int
+    never_text: bool
+    comments: int
+    size: int = 0
+    beside: bool = True
+
+
+def _names(rest: str) -> str:
+    return " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(rest)).lower()
+
+
+def _settle(found: list[Block], marks: list[int], named: list[Named]) -> None:
+    """Marks the blocks of named elements, unless such an element holds most of the page's text.
+
+    Where an article or main element has text, or other text outweighs it, the name stands; names
+    of comments and consent stand while there is any other text. What lies in an
+    element of another name inside it is judged for itself.
+    """
+    if not named:
+        return
+    whole = 0
+    in_article = False
+    for block, mark in zip(found, marks, strict=True):
+        if not block.beside:
+            whole += len(block.text)
+            in_article |= block.main and mark < 0
+            if mark >= 0:
+                named[mark].size += len(block.text)
+    for one in reversed(named):
+        if one.outer >= 0:
+            named[one.outer].size += one.size
+    for one in named:
+        most = one.size == whole if one.never_text else 2 * one.size > whole
+        one.beside = in_article or not most or (one.outer >= 0 and named[one.outer].beside)
+    for block, mark in zip(found, marks, strict=True):
+        block.beside |= mark >= 0 and named[mark].beside
 
 
 def blocks(page: str) -> list[Block]:
@@ -96,20 +135,26 @@ def blocks(page: str) -> list[Block]:
 
     An end tag closes the nearest open element of its name and all inside it; without one
     it is passed over. The start of an article or main element leaves behind elements beside
-    the text that were never closed.
+    the text that were never closed; an article of readers' comments stays beside the text.
+    The names of html and body say nothing of what stands in them.
     """
     found: list[Block] = []
     parts: list[str] = []
     linked, n_links = 0, 0
-    # Open elements: name, and whether it and what surrounds it are beside the text and in it.
-    stack: list[tuple[str, bool, bool]] = []
+    marks: list[int] = []
+    named: list[Named] = []
+    # Open elements: name, whether it and what surrounds it are beside the text and in it, and the
+    # innermost named element, or -1.
+    root = ("", False, False, -1)
+    stack: list[tuple[str, bool, bool, int]] = []
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            _, beside, main = stack[-1] if stack else ("", False, False)
+            _, beside, main, mark = stack[-1] if stack else root
             found.append(Block(text, linked, beside, main))
+            marks.append(mark)
         parts.clear()
         linked = 0
 
@@ -121,6 +166,9 @@ def blocks(page: str) -> list[Block]:
             if n_links:
                 linked += len(text.strip())
 
+    def is_beside(one: tuple[str, bool, bool, int]) -> bool:
+        return one[1] or one[3] >= 0
+
     at = 0
     for match in _TOKEN.finditer(page):
         add(page[at : match.start()])
@@ -134,30 +182,44 @@ def blocks(page: str) -> list[Block]:
         beside = tag in BESIDE
         if match["end"]:
             open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag in BLOCKS or beside or (open_at is not None and stack[open_at][1] != stack[-1][1]):
+            if tag in BLOCKS or beside or (
+                open_at is not None and is_beside(stack[open_at]) != is_beside(stack[-1])
+            ):
                 close_block()
             if open_at is not None:
-                n_links -= sum(name == "a" for name, _, _ in stack[open_at:])
+                n_links -= sum(one[0] == "a" for one in stack[open_at:])
                 del stack[open_at:]
             continue
-        outer = stack[-1] if stack else ("", False, False)
-        beside = _is_beside(tag, match["rest"])
-        if tag in BLOCKS or beside:
+        outer = stack[-1] if stack else root
+        names = "" if tag in ("html", "body") else _names(match["rest"])
+        words = BESIDE_NAMES.intersection(re.split(r"[^a-z]+", names)) if names else frozenset()
+        if tag in BLOCKS or beside or words:
             close_block()
         if tag in VOID:
             continue
         if tag == "body":
             n_links, stack[:] = 0, []
-            outer = ("", False, False)
+            outer = root
+        main = outer[2]
+        if tag == "p" and outer[0] == "p":
+            stack.pop()
+            outer = stack[-1] if stack else root
+        mark = outer[3]
+        of_comments = any(_COMMENTS.fullmatch(name) for name in names.split()) if words else False
         if tag in MAIN:
-            stack.append((tag, False, True))
-        elif tag == "p" and stack and stack[-1][0] == "p":
-            stack[-1] = (tag, beside or (len(stack) > 1 and stack[-2][1]), outer[2])
-        else:
-            stack.append((tag, outer[1] or beside, outer[2]))
+            # Only comments that an article is of or in keep it beside the text.
+            mark = named[mark].comments if tag == "article" and mark >= 0 else -1
+            outer, beside, main = root, False, True
+        if words and (tag not in MAIN or (tag == "article" and of_comments)):
+            named.append(Named(mark, not NEVER_TEXT.isdisjoint(words), -1 if mark < 0 else named[mark].comments))
+            mark = len(named) - 1
+            if of_comments:
+                named[mark].comments = mark
+        stack.append((tag, outer[1] or beside, main, mark))
         n_links += tag == "a"
     add(page[at:])
     close_block()
+    _settle(found, marks, named)
     return found
 
 
@@ -166,16 +228,22 @@ def classify(found: list[Block], rules: Rules = Rules()) -> None:
 
     First each for itself: what stands beside the text or is mostly links is bad; a block long
     enough, with few links and with stop words (or in the page's article) is good; a long one
-    without stop words outside of it is bad; the others are ambiguous. Then each
+    without stop words outside of it is bad, unless the page has no good block and hardly a
+    stop word, being in another language; the others are ambiguous. Then each
     ambiguous block takes the label of the nearest decided block of the same surroundings, of
     two as near the one before. Where none is decided, an article's blocks are good, others
     take the label of the nearest of all, and a page without a decided block is good.
     """
+    n_words, n_stop = 0, 0
+    without: list[Block] = []
     for block in found:
         size = len(block.text)
         links = block.linked / size
         words = _WORD.findall(block.text.lower())
-        stop = sum(word in STOP_WORDS for word in words) / len(words) if words else 0.0
+        listed = sum(word in STOP_WORDS for word in words)
+        stop = listed / len(words) if words else 0.0
+        if not block.beside:
+            n_words, n_stop = n_words + len(words), n_stop + listed
         if block.beside or links > 0.5:
             block.label = "bad"
         elif size < rules.short or links > rules.max_links:
@@ -184,6 +252,10 @@ def classify(found: list[Block], rules: Rules = Rules()) -> None:
             block.label = "good"
         elif size >= rules.long and stop < rules.low_stop_words:
             block.label = "bad"
+            without.append(block)
+    if n_stop < rules.low_stop_words * n_words and all(block.label != "good" for block in found):
+        for block in without:
+            block.label = ""
 
     def inherit(same_surroundings: bool) -> None:
         groups = {True: [i for i, b in enumerate(found) if b.main],

@@ -78,3 +78,42 @@ def test_rows_are_kept_as_they_are(spark):
 def test_very_long_page():
     page = "<article>" + f"<p>{LONG}</p>" * 5000 + "</article>"
     assert html_text.main_text(page).count("\n") == 4999
+
+
+OTHER = "Other words that are of the page and in it. " * 6
+FOREIGN = "Вчера вечером жители города собрались возле старой площади ради праздника урожая. " * 4
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body class="has-sidebar"><p>{LONG}</p><aside>{OTHER}</aside></body>', LONG),
+        (f'<div id="page" class="no-sidebar"><p>{LONG}</p><div class="sidebar">{OTHER}</div></div>', LONG),
+        (f'<div id="page" class="comments-open"><p>{LONG}</p></div>', LONG),
+        (f'<div id="page" class="comments-open"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<p>{LONG}</p><div class="comments"><p>{LONG} {LONG}</p></div>', LONG),
+        (f'<article><p>{LONG}</p></article><div class="sidebar">{OTHER * 4}</div>', LONG),
+    ],
+)
+def test_names_of_wrappers_do_not_condemn_the_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_in_other_languages_are_kept():
+    page = f"<div><p>{FOREIGN}</p><p>{FOREIGN}</p><nav>{FOREIGN}</nav></div>"
+    assert html_text.main_text(page) == f"{FOREIGN.strip()}\n{FOREIGN.strip()}"
+
+
+@pytest.mark.parametrize(
+    "comments",
+    [
+        "<section class=comments><article><p>{}</p></article></section>",
+        '<article class="comment even"><p>{}</p></article>',
+        '<div id="post-comments"><ol><li><article id="comment-7">{}</article></ol></div>',
+    ],
+)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div>{}</div>", "<main>{}</main>"])
+def test_articles_of_comments_stay_beside(comments, frame):
+    said = comments.replace("{}", OTHER)
+    assert html_text.main_text(frame.replace("{}", f"<p>{LONG}</p>{said}")) == LONG
+    assert html_text.main_text(frame.replace("{}", f"<p>{LONG}</p>") + said) == LONG

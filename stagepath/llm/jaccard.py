@@ -441,6 +441,10 @@ def near_groups(
     3. All classes of different components that share an n-gram of their prefixes are
        paired, so that no link between groups is lost.
     Pairs whose parity bits do not rule them out are verified exactly, fragment by fragment.
+
+    This gives groups and not links: neither linked pairs nor their overlaps or number. Pairs of
+    documents with equal sets are never enumerated, nor are pairs of classes inside a component
+    that steps 1 or 2 have already joined, other than those compared on the way.
     """
     spark = docs.sparkSession
     ship_code(spark)

@@ -12,6 +12,7 @@ from stagepath.llm.common import SPACE, words_of
 from stagepath.staging import Staging
 
 MIN_LENGTH = 16
+MIN_ASSIGNED = 8
 MAX_LABELLED = 20_000
 DICTIONARY = 1_000
 PLACEHOLDER = "[SECRET]"
@@ -20,6 +21,12 @@ _VALUE = f"[{_LETTERS}]{{{MIN_LENGTH},}}"
 _BORDER = f"(?<=[{_LETTERS}])(?=[^{_LETTERS}])|(?<=[^{_LETTERS}])(?=[{_LETTERS}])"
 #: What stands before a secret that is assigned, and paths that hold examples.
 _KEYWORDS = r"(?i)(token|secret|passw|pwd|api_?key|access|auth|credential|private|bearer)"
+#: Where a value begins that is assigned to such a name, and the characters that it may have.
+_WIDE = r"A-Za-z0-9+/=_\-.!:@#$%^&*~?"
+_NAME = rf"{_KEYWORDS}[\w\-]{{0,20}}[\"\'`]?[{SPACE}]{{0,2}}[=:]{{1,2}}>?[{SPACE}]{{0,2}}[\"\'`]?"
+_START = f"(?=[{_WIDE}]{{{MIN_ASSIGNED},}})(?![=:])"
+_ASSIGNED = f"{_NAME}{_START}"
+_ASSIGNED_AT = f"(?<={_NAME}){_START}"
 _EXAMPLE_PATHS = r"(?i)(test|example|sample|mock|fixture|doc)"
 
 FEATURES = [
@@ -45,7 +52,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     return [row.word for row in top.collect()]
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+def long_runs(docs: DataFrame, path: str = "source") -> DataFrame:
     """Every run of at least 16 characters as keys have them, with the words around it.
 
     `start` is where the run begins in the text, in code points; `lead` is what its word
@@ -86,20 +93,72 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     )
 
 
+def assigned_values(docs: DataFrame, path: str = "source") -> DataFrame:
+    """Values of at least 8 characters assigned to names of credentials that hold no long run,
+    being short or broken up by punctuation, in the columns of `long_runs`.
+
+    Stops, colons and question marks at the end are left off. Addresses are no values.
+    """
+    read = docs.select("doc_id", F.col(path).alias("path"), F.col("text").alias("_text"))
+    pieces = read.where(F.col("_text").rlike(_ASSIGNED)).withColumn(
+        "_pieces", F.split("_text", _ASSIGNED_AT)
+    )
+    value = F.regexp_replace(F.regexp_extract("_piece", f"^[{_WIDE}]+", 0), r"[.:?]+$", "")
+    near = F.right("_head", F.lit(400))
+    found = (
+        pieces.select("*", F.posexplode("_pieces").alias("_at", "_piece"))
+        .where("_at > 0")
+        .withColumn("value", value)
+        .where(
+            (F.length("value") >= MIN_ASSIGNED)
+            & ~F.col("value").rlike(_VALUE)
+            & ~F.contains("value", F.lit("://"))
+        )
+        .withColumn("_head", F.array_join(F.slice("_pieces", F.lit(1), F.col("_at")), ""))
+        .withColumn("_rest", F.substr("_text", F.length("_head") + F.length("value") + 1, F.lit(400)))
+    )
+    others, blanks = f"[^{SPACE}]+", f"[{SPACE}]+"
+
+    def words(text: Column) -> Column:
+        return F.trim(F.regexp_replace(text, blanks, " "))
+
+    return found.select(
+        "doc_id",
+        F.xxhash64("_text").alias("text_hash"),
+        "path",
+        F.length("_head").cast("long").alias("start"),
+        "value",
+        words(F.regexp_extract(near, f"((?:{others}{blanks}){{0,3}})[^{SPACE}]*$", 1)).alias("before"),
+        words(
+            F.regexp_extract("_rest", f"^[^{SPACE}]*{blanks}({others}(?:{blanks}{others})?)", 1)
+        ).alias("after"),
+        F.regexp_extract(near, f"[^{SPACE}]*$", 0).alias("lead"),
+    )
+
+
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """Every long run, and every shorter or broken value that is assigned to a name of credentials."""
+    return long_runs(docs, path).unionByName(assigned_values(docs, path))
+
+
 def _turns(classes: Column) -> Column:
     """How often a string changes from one character to another."""
     return F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) - 1
 
 
+def _kinds(value: Column) -> Column:
+    return F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"
+    )
+
+
 def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     """Adds what the forest looks at: length, turns between kinds of characters, how much of the
     value dictionary words cover, its path and the words beside it. NULL paths are empty."""
     value = F.col("value")
     length = F.length(value)
     lower = F.lower(value)
-    kinds = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"
-    )
+    kinds = _kinds(value)
     sounds = F.regexp_replace(F.regexp_replace(lower, "[aeiou]", "a"), "[b-df-hj-np-tv-z]", "b")
     # Longer words first, so that a word is not taken for its beginning.
     known = "|".join(sorted(words, key=lambda word: (-len(word), word))) or "$^"
@@ -134,37 +193,55 @@ def rule_labels(found: DataFrame) -> DataFrame:
     """Findings that a strict rule can label: 1 for an assigned random value, 0 for plain strings.
 
     A value is random if it mixes letters and digits in at least a fifth of its
-    length each and names of credentials stand before it; plain if it has no digit, no
-    letter, or stands in an address. All others get no label.
+    length each, or small and capital letters that change kind at nearly every second
+    character, as keys of 62 or 64 characters do and words do not. It is a secret if names of
+    credentials stand before it. Where none does, it is plain if it is not random and has no
+    digit, no letter, or stands in an address. All others get no label.
     """
     value = F.col("value")
     length = F.length(value)
     digits = length - F.length(F.translate(value, "0123456789", ""))
     letters = length - F.length(F.regexp_replace(value, "[A-Za-z]", ""))
     context = F.concat("before", "lead")
-    random = (5 * digits >= length) & (5 * letters >= length)
+    mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & (20 * _turns(_kinds(value)) >= 9 * length)
+    random = ((5 * digits >= length) & (5 * letters >= length)) | mixed
+    named = context.rlike(_KEYWORDS)
     address = F.col("lead").rlike(r"(://|www\.|@|/)")
     label = (
-        F.when(random & context.rlike(_KEYWORDS) & ~address, 1.0)
-        .when((digits == 0) | (letters == 0) | (address & ~random), 0.0)
+        F.when(random & named & ~address, 1.0)
+        .when(~named & ~random & ((digits == 0) | (letters == 0) | address), 0.0)
     )
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 
-def seed_findings(spark: SparkSession, n: int = 100) -> DataFrame:
+def seed_findings(spark: SparkSession, n: int = 200) -> DataFrame:
     """Labelled findings of both kinds, made by a rule from a counter, so that a forest can be
-    fitted where the texts give too few of their own."""
+    fitted where the texts give too few of their own.
+
+    Secrets are hexadecimal keys, keys of 62 and of 64 characters, and short assigned ones;
+    the others are words, also assigned to names of credentials.
+    """
     numbers = spark.range(n).select(
-        F.sha2(F.col("id").cast("string"), 256).alias("hash"), (F.col("id") % 4).alias("kind")
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("hash"), (F.col("id") % 8).alias("kind")
     )
     key = F.substring("hash", 1, 40)
+    base64 = F.base64(F.unhex("hash"))
+    base62 = F.translate(base64, "+/=", "")
+    short = F.substr(base62, F.lit(1), (8 + F.col("id") % 7).cast("int"))
     word = F.translate(F.substring("hash", 1, 20), "0123456789", "aeiounrstl")
-    secret = F.col("kind") < 2
-    named = F.col("kind") % 2 == 0
+    kind = F.col("kind")
+    secret = kind.isin(0, 1, 4, 5, 6)
+    named = kind.isin(0, 2, 4, 6)
+    value = (
+        F.when(kind < 2, key).when(kind == 2, word).when(kind == 3, F.concat(word, F.lit("-"), word))
+        .when(kind == 4, base62).when(kind == 5, base64).when(kind == 6, short)
+        .otherwise(F.substr(word, F.lit(1), (8 + F.col("id") % 11).cast("int")))
+    )
     return numbers.select(
         F.lit(None).cast("string").alias("path"),
-        F.when(secret, key).when(named, word).otherwise(F.concat(word, F.lit("-"), word)).alias("value"),
-        F.when(secret & named, "token =").when(secret, "set password:").otherwise("and the").alias("before"),
+        value.alias("value"),
+        F.when(secret & named, "token =").when(secret | (kind == 7), "set password:")
+        .otherwise("and the").alias("before"),
         F.lit("of the").alias("after"),
         F.when(secret, '"').otherwise("").alias("lead"),
         secret.cast("double").alias("label"),
@@ -202,7 +279,7 @@ def scan(
     those that no rule covers. NULL and empty texts give no rows, nor does an empty table;
     repeated rows give repeated findings.
 
-    The texts are read twice, for the dictionary and for the candidates; the shuffles
+    The texts are read for the dictionary and twice for the candidates; the shuffles
     carry word counts of each task and candidates only.
     """
     words = dictionary(docs)
@@ -224,14 +301,18 @@ def scan(
 def redact(docs: DataFrame, staging: Staging, path: str = "source", **options) -> DataFrame:
     """The documents with every secret replaced by a placeholder, in their own columns.
 
-    A text's secrets are looked up by doc_id and text, so repeats are all redacted.
+    A text's secrets are looked up by doc_id and text, so repeats are all redacted, longer ones
+    first, as they may hold shorter ones.
     `n_chars` follows the text where the table has it.
     """
     secrets = (
         scan(docs, staging, path=path, **options)
         .where("is_secret")
         .groupBy(F.struct("doc_id", "text_hash").alias("_found"))
-        .agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
+        .agg(
+            F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False)["value"]
+            .alias("_values")
+        )
     )
     own = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
     text = F.when(

@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -77,3 +79,33 @@ def test_empty_table_and_null_paths(spark, staging):
     assert scanned(spark, staging, []) == []
     assert len(scanned(spark, staging, [f"x {key(1)}"], sources=[None], ids=[None])) == 1
     assert secret_scan.redact(make_docs(spark, []), staging).collect() == []
+
+
+def base62(i, n=40):
+    return re.sub("[+/=]", "", base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode())[:n]
+
+
+def test_keys_of_few_digits_and_short_ones_are_found(spark, staging):
+    keys = [base62(i) for i in range(20)]
+    keys += [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(20)]
+    keys += [base62(i, 10) for i in range(20)] + ["aB3!xY7.kL9:mQ2", "zR8.pW4!tK6"]
+    texts = [f'the config has password = "{k}" in the file' for k in keys]
+    texts += ["the password: internationalisation of it", "the token = required in the rest"]
+    found = scanned(spark, staging, texts)
+    assert all(texts[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in found)
+    secrets = {r.doc_id for r in found if r.is_secret and keys[r.doc_id].startswith(r.value)}
+    assert len({r.doc_id for r in found} & set(range(len(keys)))) == len(keys)
+    assert secrets == set(range(len(keys)))
+
+
+def test_low_digit_values_after_credential_words_are_not_called_plain(spark):
+    docs = make_docs(spark, [f"token = {'abcdefghij' * 2}", f"the token is /{'abcdefghij' * 2}", f"x {'abcdefghij' * 2}"])
+    labelled = secret_scan.rule_labels(secret_scan.candidates(docs)).collect()
+    assert [(r.doc_id, r.label) for r in labelled] == [(2, 0.0)]
+
+
+def test_redacts_short_values_inside_longer_ones(spark, staging):
+    short = base62(1, 10)
+    docs = make_docs(spark, [f'token = "{short}" and secret = "A{short}{base62(2, 30)}" here'])
+    (row,) = secret_scan.redact(docs, staging).collect()
+    assert row.text == 'token = "[SECRET]" and secret = "[SECRET]" here'

@@ -131,10 +131,46 @@ from sets join (select a, min(b) as least from reached group by a) on a = doc_id
 """
 
 
+LEXICAL_SEARCH = rf"""
+with terms as (
+  select r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as r, doc_id, text from documents)
+),
+lengths as (select r, doc_id, count(*) as n from terms group by r, doc_id),
+corpus as (select count(*) as docs, cast(sum(n) as bigint) as words from lengths),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+),
+held as (
+  select r, term, count(*) as tf from terms where term in (select term from wanted) group by r, term
+),
+weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+  from held, corpus group by term, docs
+),
+scored as (
+  select i.item_id, l.r, l.doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) as bigint) as score
+  from wanted i join held h using (term) join weights using (term) join lengths l using (r), corpus
+  group by i.item_id, l.r, l.doc_id
+),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls first) as int) as rank,
+    doc_id, score
+  from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY_RULES,
         "op6_warc": WARC,
         "op7_sharding": SHARDING,
         "op9_ngram_jaccard": NGRAM_JACCARD,
+        "op12_lexical_search": LEXICAL_SEARCH,
     }

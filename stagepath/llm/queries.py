@@ -14,6 +14,7 @@ from stagepath.llm import (
     classifier,
     html_text,
     jaccard,
+    lexical,
     packing,
     quality,
     secret_scan,
@@ -117,6 +118,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"), Staging(spark))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every benchmark item."""
+    return lexical.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Staging(spark)
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -129,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_fingerprints": op10_fingerprints,
+        "op12_lexical_search": op12_lexical_search,
     }
 
 

@@ -166,6 +166,65 @@ select item_id, rank, doc_id, score from ranked where rank <= 10
 """
 
 
+COLLOCATIONS = rf"""
+with pieces as (
+  select row_number() over () as p, lang, piece
+  from (
+    select coalesce(lang, 'und') as lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), {A_TO_Z}), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+  )
+),
+words as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces
+),
+places as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from words where len(ws) > 0),
+grams as (
+  select lang, k, array_to_string(ws[i : i + k - 1], ' ') as gram, ws[i] as first, ws[i + k - 1] as last,
+    array_to_string(ws[i : i + k - 2], ' ') as front, array_to_string(ws[i + 1 : i + k - 1], ' ') as back
+  from places, (select unnest([1, 2, 3]) as k) where i + k - 1 <= len(ws)
+),
+f as (
+  select lang, k, gram, any_value(first) as first, any_value(last) as last, any_value(front) as front,
+    any_value(back) as back, count(*) as f
+  from grams group by lang, k, gram
+),
+totals as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+candidates as (select * from f where k >= 2 and f >= 10),
+longer as (
+  select lang, gram, max(f) as f
+  from (
+    select lang, front as gram, f from candidates where k = 3
+    union all select lang, back, f from candidates where k = 3
+  ) group by lang, gram
+),
+cuts as (
+  select c.lang, c.gram, c.f as a, 1 as cut, l.f as l, r.f as r
+  from candidates c
+  join f l on l.lang = c.lang and l.k = 1 and l.gram = c.first
+  join f r on r.lang = c.lang and r.k = c.k - 1 and r.gram = c.back
+  union all
+  select c.lang, c.gram, c.f, 2, l.f, r.f
+  from candidates c
+  join f l on c.k = 3 and l.lang = c.lang and l.k = 2 and l.gram = c.front
+  join f r on r.lang = c.lang and r.k = 1 and r.gram = c.last
+),
+scored as (
+  select *, cast(cast(1000000 as hugeint) * a * a // (cast(l as hugeint) * r) as bigint) as score from cuts
+),
+lowest as (
+  select * from scored
+  qualify row_number() over (partition by lang, gram order by score, cut) = 1
+),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by s.score desc, s.a desc, encode(s.gram)) as rank
+  from lowest s left join longer o on o.lang = s.lang and o.gram = s.gram
+  where o.f is null or 100 * o.f < 50 * s.a
+)
+select lang, rank, gram as phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY_RULES,
@@ -173,4 +232,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": SHARDING,
         "op9_ngram_jaccard": NGRAM_JACCARD,
         "op12_lexical_search": LEXICAL_SEARCH,
+        "op13_collocations": COLLOCATIONS,
     }

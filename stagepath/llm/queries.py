@@ -12,6 +12,7 @@ from stagepath.llm import fingerprints as order_minhash
 from stagepath.llm import (
     checks_sql,
     classifier,
+    collocations,
     html_text,
     jaccard,
     lexical,
@@ -125,6 +126,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 most closely bound phrases of two and three words."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), Staging(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -138,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_fingerprints": op10_fingerprints,
         "op12_lexical_search": op12_lexical_search,
+        "op13_collocations": op13_collocations,
     }
 
 

@@ -21,6 +21,7 @@ from stagepath.llm import (
     secret_scan,
     sentencepiece_bpe,
     sharding,
+    toxicity,
     warc,
 )
 from stagepath.llm.common import table
@@ -119,6 +120,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"), Staging(spark))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance of every document that it is toxic."""
+    return toxicity.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Staging(spark)
+    )
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents of highest score for every benchmark item."""
     return lexical.search(
@@ -143,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_fingerprints": op10_fingerprints,
+        "op11_toxicity": op11_toxicity,
         "op12_lexical_search": op12_lexical_search,
         "op13_collocations": op13_collocations,
     }

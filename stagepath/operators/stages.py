@@ -100,7 +100,7 @@ def later_events(pairs: DataFrame, ev: DataFrame, funnel: Funnel = FUNNEL) -> Da
     )
 
 
-def _first_view_key(attributes: Sequence[str]) -> Column:
+def first_view_key(attributes: Sequence[str]) -> Column:
     # Ordered as: known times first, then by time, then by event_id. The
     # attributes ride behind the key, so a NULL attribute is kept as it is.
     return F.struct(
@@ -115,7 +115,7 @@ def first_view_attribute(
     return (
         ev.where((F.col("event_type") == funnel.first) & in_session())
         .groupBy(*funnel.keys)
-        .agg(F.min(_first_view_key([attribute])).alias("first"))
+        .agg(F.min(first_view_key([attribute])).alias("first"))
         .select(
             *funnel.keys,
             F.col(f"first.{TIME}").alias(funnel.reached(funnel.first)),
@@ -124,6 +124,21 @@ def first_view_attribute(
     )
 
 
+def first_view(attributes: Sequence[str], funnel: Funnel = FUNNEL) -> Column:
+    """Aggregate: the key and attributes of the first event of the first stage."""
+    return F.min(F.when(F.col("event_type") == funnel.first, first_view_key(list(attributes))))
+
+
+def later_bounds(funnel: Funnel = FUNNEL) -> list[Column]:
+    """Aggregates: the earliest and latest time of every later stage."""
+    # A NULL product is a pair of its own, but its later events match nothing.
+    has_keys, bounds = F.col("product_id").isNotNull(), []
+    for stage in funnel.later:
+        time = _time_if((F.col("event_type") == stage) & has_keys)
+        bounds += [F.min(time).alias(f"_{stage}_min"), F.max(time).alias(f"_{stage}_max")]
+    return bounds
+
+
 def pair_bounds(
     ev: DataFrame, funnel: Funnel = FUNNEL, attributes: dict[str, str] | None = None
 ) -> DataFrame:
@@ -136,13 +151,9 @@ def pair_bounds(
     """
     attributes = attributes or {}
     is_first = F.col("event_type") == funnel.first
-    # A NULL product is a pair of its own, but its later events match nothing.
-    has_keys = F.col("product_id").isNotNull()
-
-    first_view = funnel.reached(funnel.first)
+    view_time = funnel.reached(funnel.first)
     if attributes:
-        key = F.when(is_first, _first_view_key(list(attributes)))
-        aggregates = [F.min(key).alias("_first")]
+        aggregates = [first_view(attributes, funnel).alias("_first")]
         viewed, first_time = F.col("_first").isNotNull(), F.col(f"_first.{TIME}")
     else:
         # Only fixed-width state is left, which Spark aggregates by hashing.
@@ -151,19 +162,15 @@ def pair_bounds(
             F.min(_time_if(is_first)).alias("_first_time"),
         ]
         viewed, first_time = F.col("_viewed"), F.col("_first_time")
-    for stage in funnel.later:
-        time = _time_if((F.col("event_type") == stage) & has_keys)
-        aggregates += [F.min(time).alias(f"_{stage}_min"), F.max(time).alias(f"_{stage}_max")]
-
     pairs = (
         ev.where(F.col("event_type").isin(*funnel.stages) & in_session())
         .groupBy(*funnel.keys)
-        .agg(*aggregates)
+        .agg(*aggregates, *later_bounds(funnel))
         .where(viewed)
-        .withColumn(first_view, first_time)
+        .withColumn(view_time, first_time)
     )
 
-    prev = F.col(first_view)
+    prev = F.col(view_time)
     reached, is_open = [prev], F.lit(False)
     for stage in funnel.later:
         low, high = F.col(f"_{stage}_min"), F.col(f"_{stage}_max")

@@ -252,6 +252,9 @@ def oracle_sql() -> dict[str, str]:
             "from p3"
         ),
         "funnel_mart": _pairs(f"select {MART_COLUMNS} from mart"),
+        "funnel_mart_by_weeks": _pairs(
+            f"select {MART_COLUMNS}, round(view_price, 6) as view_price, category_code, brand from mart"
+        ),
         "stage_row_checks": _pairs(
             "select 'view' as stage, count(*) as total, null::bigint as cart_count, "
             "null::bigint as purchase_count from p1 "

@@ -71,29 +71,22 @@ def funnel_totals(mart: DataFrame) -> DataFrame:
     )
 
 
-def stage_row_checks(
-    views: DataFrame, carts: DataFrame, purchases: DataFrame, mart: DataFrame
-) -> DataFrame:
-    """Rows and conversions after each step of the build, each counted in that step's own table.
+def stage_row_checks(steps: dict[str, dict[str, int]], mart: DataFrame) -> DataFrame:
+    """Rows and conversions after each step of the build, as measured when the step was written,
+    and those of the mart as it is stored.
 
     A step that loses or doubles pairs has another total than the step before.
     """
-    nothing = F.lit(None).cast("long")
-
-    def counted(frame: DataFrame, stage: str, cart: Column, purchase: Column) -> DataFrame:
-        return frame.agg(
-            F.count("*").alias("total"), cart.alias("cart_count"), purchase.alias("purchase_count")
-        ).select(F.lit(stage).alias("stage"), "*")
-
-    reached = F.count("first_valid_cart")
-    return (
-        counted(views, "view", nothing, nothing)
-        .unionByName(counted(carts, "cart", reached, nothing))
-        .unionByName(counted(purchases, "purchase", reached, F.count("first_valid_purchase")))
-        .unionByName(
-            counted(mart, "mart", F.sum("cart_flag").cast("long"), F.sum("purchase_flag").cast("long"))
-        )
+    measured = mart.sparkSession.createDataFrame(
+        [(stage, n["total"], n.get("cart"), n.get("purchase")) for stage, n in steps.items()],
+        "stage string, total long, cart_count long, purchase_count long",
+    )
+    stored = mart.agg(
+        F.count("*").alias("total"),
+        F.coalesce(F.sum("cart_flag"), F.lit(0)).alias("cart_count"),
+        F.coalesce(F.sum("purchase_flag"), F.lit(0)).alias("purchase_count"),
     )
+    return measured.unionByName(stored.select(F.lit("mart").alias("stage"), "*"))
 
 
 def mart_schema(mart: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from stagepath.functions.numeric import round_at, significant
 from stagepath.model import FUNNEL
 from stagepath.operators import conversion, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
+from stagepath.plans.mart_store import MartStore
 from stagepath.sources import event_log, event_table
 from stagepath.sources.event_table import canonical_events, week
 from stagepath.staging import Staging
@@ -54,6 +55,10 @@ class _Stored:
         ev = canonical_events(self.spark, self.sf_dir)
         return mart_plan.build_enriched_mart(ev, self.staging)
 
+    @property
+    def step_counts(self) -> dict[str, dict[str, int]]:
+        return mart_plan.step_counts(self.staging)
+
     @functools.cached_property
     def sessions(self) -> DataFrame:
         return self.staging.save(depth.sessions(self.mart), "sessions")
@@ -137,10 +142,21 @@ def _funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each step counted in its own table, not in the finished mart."""
+    """Each step as it was measured when the stored mart was built, and the mart as it is."""
+    mart = stored_mart(spark, sf_dir)
+    with _building:
+        counts = _tables(spark, sf_dir).step_counts
+    return conversion.stage_row_checks(counts, mart)
+
+
+def _mart_by_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched mart of the weeks' logs, added one after another, the last one first."""
     ev, staging = canonical_events(spark, sf_dir), _staging(spark)
-    steps = mart_plan.build_steps(ev, staging)
-    return conversion.stage_row_checks(*steps, stored_mart(spark, sf_dir))
+    store = MartStore(spark, staging.path("mart"))
+    late = F.coalesce(week() >= 3, F.lit(False))
+    store.add(ev.where(late), "weeks from the fourth on")
+    store.add(ev.where(~late), "weeks before")
+    return _comparable(store.mart())
 
 
 def _first_view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +190,7 @@ def queries() -> dict[str, Query]:
         "funnel_purchase": _stages_upto("purchase"),
         "funnel_mart": _funnel_mart,
         "stage_row_checks": _stage_row_checks,
+        "funnel_mart_by_weeks": _mart_by_weeks,
         "mart_sample": _on_mart(
             lambda mart: conversion.mart_sample(mart.select(stages.mart_columns()))
         ),

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagepath.model import FUNNEL
 from stagepath.operators import conversion, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
 from stagepath.sources.event_log import Logs, ingest_events, labelled
@@ -50,11 +49,11 @@ def mart_reports(
     em: DataFrame,
     sessions: DataFrame,
     ev: DataFrame,
-    steps: tuple[DataFrame, ...],
+    steps: dict[str, dict[str, int]],
     categories: Sequence[str] = CATEGORIES,
     baseline: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Everything that is read off the enriched mart and its sessions. `steps` are the pairs
+    """Everything that is read off the enriched mart and its sessions. `steps` are the counts
     after each stage; planning starts from `baseline`, or from the measured one."""
     mart = em.select(stages.mart_columns())
     measured = depth.multi_view_baseline(sessions)
@@ -63,7 +62,7 @@ def mart_reports(
     reports = {
         "Mart columns": conversion.mart_schema(mart),
         "Mart sample": conversion.mart_sample(mart),
-        "Rows after each step": conversion.stage_row_checks(*steps, em),
+        "Rows after each step": conversion.stage_row_checks(steps, em),
         "Events at the first view": conversion.first_view_events(em, ev),
         "Funnel": conversion.funnel_totals(em),
         "Known first-view attributes": segments.first_view_coverage(em),
@@ -126,10 +125,7 @@ def run(
         em = mart_plan.write_mart(
             mart_plan.build_enriched_mart(ev, staging), f"{tables}/funnel_session_product"
         )
-        steps = tuple(
-            mart_plan.write_mart(step, f"{tables}/step_{stage}")
-            for stage, step in zip(FUNNEL.stages, mart_plan.build_steps(ev, staging), strict=True)
-        )
+        steps = mart_plan.step_counts(staging)
     sessions = mart_plan.write_mart(depth.sessions(em), f"{tables}/sessions")
     return (
         log_reports(log)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -30,6 +30,8 @@ class Staging:
             shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
         self.root = f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         self._saved: Counter[str] = Counter()
+        #: What was measured of the tables while they were written, by label.
+        self.measured: dict[str, dict[str, int]] = {}
 
     def __enter__(self) -> Staging:
         return self
@@ -43,11 +45,27 @@ class Staging:
         turn = self._saved[label]
         return f"{self.root}/{label}" if turn == 1 else f"{self.root}/{label}.{turn}"
 
-    def save(self, frame: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-        writer, path = frame.write.mode("errorifexists"), self.path(label)
+    def save(
+        self,
+        frame: DataFrame,
+        label: str,
+        partition_by: str | None = None,
+        measures: dict[str, Column] | None = None,
+    ) -> DataFrame:
+        """Writes a table and reads it back. `measures` are counts by name, taken as its rows are
+        written, in the same pass."""
+        path, watched = self.path(label), frame
+        if measures:
+            observation = Observation(path)
+            watched = frame.observe(observation, *(value.alias(n) for n, value in measures.items()))
+        writer = watched.write.mode("errorifexists")
         if partition_by is not None:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
+        if measures:
+            # Of a table known to be empty before it is computed nothing is observed.
+            found = observation.get
+            self.measured[label] = {name: found.get(name) or 0 for name in measures}
         # The schema is known, so reading back needs no inference job.
         return self.spark.read.schema(frame.schema).parquet(path)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stagepath.functions.bands import price_band
 from stagepath.model import FUNNEL, Funnel
 from stagepath.operators import conversion, depth, profile, segments, stages
-from stagepath.plans.mart import build_enriched_mart, build_mart, build_steps, ordered_stages
+from stagepath.plans import mart as mart_plan
+from stagepath.plans.mart import build_enriched_mart, build_mart, ordered_stages, step_counts
 from stagepath.staging import Staging
 from tests.conftest import at, make_events
 
@@ -214,17 +215,43 @@ def test_counts_fit_together(spark, edge_mart):
     assert total(crosstab, "cart_no") == totals.view_count - totals.cart_count
 
 
-@pytest.mark.parametrize("lost", [None, "view", "cart", "purchase", "mart"])
-def test_stage_row_checks_show_a_lost_pair(edge_events, edge_mart, staging, lost):
-    steps = dict(zip(["view", "cart", "purchase"], build_steps(edge_events, staging), strict=True))
-    steps["mart"] = edge_mart
-    if lost is not None:
-        steps[lost] = steps[lost].where("NOT (user_session = 'A' AND product_id = 1)")
-    checks = {r.stage: r for r in conversion.stage_row_checks(*steps.values()).collect()}
-    assert {stage for stage, r in checks.items() if r.total != 12} == ({lost} - {None})
-    assert checks["view"].cart_count is None and checks["cart"].purchase_count is None
-    bought = {stage: r.purchase_count for stage, r in checks.items() if stage in ("purchase", "mart")}
-    assert bought == {stage: 2 - (stage == lost) for stage in bought}
+@pytest.mark.parametrize("lost", [None, "resolved", "mart"])
+def test_stage_row_checks_show_a_lost_pair(edge_events, staging, monkeypatch, lost):
+    if lost == "resolved":
+        follow = stages.follow
+        monkeypatch.setattr(stages, "follow", lambda *given: follow(*given).where("product_id <> 3"))
+    mart = build_enriched_mart(edge_events, staging)
+    if lost == "mart":
+        mart = mart.where("NOT (user_session = 'A' AND product_id = 1)")
+    rows = {r.stage: r for r in conversion.stage_row_checks(step_counts(staging), mart).collect()}
+    short = {None: set(), "resolved": {"cart", "purchase", "mart"}, "mart": {"mart"}}[lost]
+    assert list(rows) == ["view", "cart", "purchase", "mart"]
+    assert {stage for stage, r in rows.items() if r.total == 11} == short
+    assert {stage for stage, r in rows.items() if r.total == 12} == set(rows) - short
+    assert rows["view"].cart_count is None and rows["cart"].purchase_count is None
+    assert rows["purchase"].purchase_count == 2 and rows["mart"].purchase_count == 2 - (lost == "mart")
+
+
+def test_steps_are_measured_as_they_are_written(spark, staging):
+    """No job but the writing of the steps goes over the log; an empty log counts 0."""
+    build_enriched_mart(make_events(spark, []), staging)
+    assert step_counts(staging) == {
+        "view": {"total": 0}, "cart": {"total": 0, "cart": 0},
+        "purchase": {"total": 0, "cart": 0, "purchase": 0},
+    }
+
+
+def test_a_failed_write_leaves_the_earlier_mart(spark, tmp_path, edge_mart):
+    path = str(tmp_path / "mart")
+    stored = mart_plan.write_mart(edge_mart, path)
+    broken = edge_mart.withColumn("cart_flag", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        mart_plan.write_mart(broken, path)
+    assert mart_plan.read_mart(spark, path).count() == stored.count() == 12
+    mart_plan.write_mart(edge_mart.limit(3), path)
+    assert mart_plan.read_mart(spark, path).count() == 3
+    # Those who read the one before go on.
+    assert stored.count() == 12
 
 
 def test_mart_columns(spark, edge_events):

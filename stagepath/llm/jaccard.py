@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -417,6 +418,72 @@ class _Verifier:
         return self.staging.save(counted.where(linked).select("a", "b"), label)
 
 
+#: Sizes of sets are told apart in so many levels between a set and the smallest it can be linked to.
+LEVELS = 10
+
+
+def _sides(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings of an n-gram as the smaller and as the larger set of a link, by n-gram and level.
+
+    Where a shared n-gram is the first of two sets' order, no more than what follows it in
+    either can be shared beside it, so it bounds the size of the other set; if the first fails, so do
+    all. A set is the smaller one of a link only if its own size is within its bound, and the larger one at
+    the levels of all sizes from the least that can be linked to it up to its bound. So two sets whose n-gram
+    stands too far back in both never meet.
+    """
+    step = max(math.log(100 / percent), 0.01) / LEVELS
+    n, place = F.col("n"), F.col("place")
+    bound = F.floor(((100 + percent) * (n - place) - percent * n) / percent)
+
+    def level(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / step)
+
+    bounded = rows.withColumn("bound", bound).withColumn("least", F.ceil(percent * n / 100))
+    smaller = bounded.where(F.col("bound") >= n).select(
+        "gram", level(n).alias("level"), F.col("component").alias("c"), F.col("node").alias("x"),
+        n.alias("n_x"), place.alias("place_x"), F.col("bound").alias("bound_x"),
+    )
+    top = F.least("bound", "n")
+    larger = bounded.where(top >= F.col("least")).select(
+        "gram", F.explode(F.sequence(level(F.col("least")), level(top))).alias("level"),
+        F.col("component").alias("d"), F.col("node").alias("y"),
+        n.alias("n_y"), F.col("bound").alias("bound_y"),
+    )
+    return smaller, larger
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    fits = (F.col("n_x") <= F.least("n_y", "bound_y")) & (F.col("n_y") <= F.col("bound_x"))
+    return rows.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The set whose n-gram stands foremost, with all of other components that it may be linked to, by n-gram and level.
+
+    Sets that consist of the same common n-grams but for a few differ from each other by just those few, so
+    each that is linked to any is linked to the one with the fewest.
+    """
+    smaller, larger = _sides(rows, percent)
+    centres = smaller.groupBy("gram", "level").agg(
+        F.min(F.struct("place_x", "x", "n_x", "bound_x", "c")).alias("first")
+    ).select("gram", "level", "first.*")
+    return _paired(centres.join(larger, ["gram", "level"]).where("c <> d"))
+
+
+def fitting_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different components that share an n-gram and may be linked by its places.
+
+    Components meet first, so sets of one component are never paired.
+    """
+    smaller, larger = _sides(rows, percent)
+    meet = smaller.select("gram", "level", "c").distinct().join(
+        larger.select("gram", "level", "d").distinct(), ["gram", "level"]
+    ).where("c <> d")
+    return _paired(
+        meet.join(smaller, ["gram", "level", "c"]).join(larger, ["gram", "level", "d"])
+    )
+
+
 def near_groups(
     docs: DataFrame,
     staging: Staging,
@@ -437,9 +504,10 @@ def near_groups(
        class, and those linked form components. This joins large groups of near copies by
        one pair per member and band.
     2. The n-gram order is cut into fragments. Linked sets share an n-gram in their
-       prefixes; of those that two components share, each fragment pairs one class of each.
-    3. All classes of different components that share an n-gram of their prefixes are
-       paired, so that no link between groups is lost.
+       prefixes. For each that two components share, the class in which it stands foremost is paired
+       with those of other components that fit by size and place.
+    3. All classes of the components that are left, if they share an n-gram of their prefixes and
+       fit by size and place, are paired, so that no link between groups is lost.
     Pairs whose parity bits do not rule them out are verified exactly, fragment by fragment.
 
     This gives groups and not links: neither linked pairs nor their overlaps or number. Pairs of
@@ -486,40 +554,12 @@ def near_groups(
         ).where("low < high").select("gram")
         return staging.save(placed.join(mixed, "gram"), f"{label}-between")
 
-    def fits() -> Column:
-        # No more than what follows a shared n-gram in either order can be shared beside it, if
-        # it is the first; and if the first fails, so do all.
-        most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-        return (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))
-
-    def side(found: DataFrame, component: str, name: str) -> DataFrame:
-        return found.select(
-            "gram", F.col("component").alias(component), F.col("node").alias(name),
-            F.col("n").alias(f"n_{name}"), F.col("place").alias(f"place_{name}"),
-        )
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
     shared = between(links, "first")
-    chosen = shared.groupBy("gram", "component").agg(
-        F.min(F.struct("place", "node", "n")).alias("first")
-    ).select("gram", "component", "first.*")
-    chosen_pairs = staging.save(
-        ordered(side(chosen, "c", "x").join(side(chosen, "d", "y"), "gram").where(fits()).where("c < d")),
-        "chosen-pairs",
-    )
+    chosen_pairs = staging.save(star_pairs(shared, percent), "chosen-pairs")
     links = links.unionByName(verifier.links(chosen_pairs, "chosen-links"))
 
     shared = between(links, "second")
-    sites = shared.select("gram", "component").distinct()
-    meet = sites.select("gram", F.col("component").alias("c")).join(
-        sites.select("gram", F.col("component").alias("d")), "gram"
-    ).where("c < d")
-    rest = ordered(
-        meet.join(side(shared, "c", "x"), ["gram", "c"])
-        .join(side(shared, "d", "y"), ["gram", "d"]).where(fits())
-    ).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
+    rest = fitting_pairs(shared, percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
     rest = staging.save(rest, "rest-pairs")
     links = links.unionByName(verifier.links(rest, "rest-links"))
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stagepath.llm import components, jaccard
+from stagepath.staging import Staging
 from tests.llm.helpers import make_docs, with_clashes
 
 
@@ -133,3 +134,46 @@ def test_components_match_brute_force(spark, staging_factory, links):
             if a != b:
                 least[a] = least[b] = min(least[a], least[b])
     assert found == least
+
+
+class Counting(Staging):
+    """Keeps the number of rows of every table of pairs."""
+
+    pairs = 0
+
+    def save(self, frame, label, *more, **options):
+        out = super().save(frame, label, *more, **options)
+        if label.endswith("-pairs"):
+            self.pairs += out.count()
+        return out
+
+
+@pytest.mark.parametrize("own", [4, 11])
+def test_pairs_grow_with_the_sharers_of_a_passage_and_not_with_their_square(spark, monkeypatch, own):
+    """All share a passage; with few own words they are linked, with more they are not."""
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    counts = []
+    for n in (30, 60):
+        texts = [" ".join(words(rng, own, 10**6) + passage) for _ in range(n)]
+        staging = Counting(spark)
+        found = jaccard.near_groups(make_docs(spark, texts), staging).collect()
+        assert [(r.n_shingles, r.component_id) for r in sorted(found, key=lambda r: r.doc_id)] == brute_force(texts)
+        assert len({r.component_id for r in found}) == (1 if own == 4 else n)
+        counts.append(staging.pairs)
+    assert counts[1] <= 2 * counts[0] + 40
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 120), min_size=1, max_size=80), st.sets(st.integers(0, 120), min_size=1, max_size=80))
+def test_linked_sets_fit_at_their_first_common_gram(a, b):
+    """The bound on sizes that decides which sets meet holds for every link."""
+    both = len(a & b)
+    if 100 * both < 75 * len(a | b):
+        return
+    small, large = sorted((sorted(a), sorted(b)), key=len)
+    first = min(a & b)
+    bound = [(175 * (len(s) - s.index(first)) - 75 * len(s)) // 75 for s in (small, large)]
+    assert len(small) <= bound[0] and len(large) <= bound[0]
+    assert -(-75 * len(large) // 100) <= len(small) <= min(bound[1], len(large))

@@ -27,7 +27,8 @@ DEPTH = 4
 FLUSH_BYTES = 4 << 20
 
 PIECES = (
-    "doc_id long, start long, length long, doc_tokens long, ids binary, task int, bin int, rank long"
+    "doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long,"
+    " task int, bin int, rank long"
 )
 PACKED = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
@@ -46,8 +47,8 @@ def cut_documents(
     step = window // bins
     kind = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-         ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()),
-         ("bin", pa.int32()), ("rank", pa.int64())]
+         ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()),
+         ("task", pa.int32()), ("bin", pa.int32()), ("rank", pa.int64())]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,12 +57,14 @@ def cut_documents(
         rows, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id))
+                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                small = ids.max() < 1 << 16
                 for start in range(0, len(ids), window):
-                    piece = ids[start : start + window].astype("<u4")
+                    piece = ids[start : start + window]
                     part = 0 if len(piece) == window else -(-len(piece) // step)
-                    held = piece.astype("<u2") if piece.max() < 1 << 16 else piece
-                    rows.append((doc_id, start, len(piece), len(ids), held.tobytes(), task, part, seen[part]))
+                    held = piece.astype("<u2") if small else piece
+                    rows.append((doc_id, start, len(piece), len(ids), held.tobytes(), zlib.crc32(piece),
+                                 task, part, seen[part]))
                     seen[part] += 1
                     size += held.nbytes + 64
                 if size > FLUSH_BYTES:
@@ -214,6 +217,7 @@ def pack(
     end_id: int = END_ID,
     bins: int = BINS,
     depth: int = DEPTH,
+    with_ids: bool = True,
 ) -> DataFrame:
     """Every document's ids in sequences of at most `window` tokens with little padding.
 
@@ -228,7 +232,8 @@ def pack(
 
     NULL text is empty and gives the end id alone; rows with equal doc_id are packed
     each for itself; other columns are left aside; an empty table gives no rows. A text of any
-    length is cut. Returns a row per piece with its ids (little-endian unsigned 32-bit).
+    length is cut. Returns a row per piece with its ids (little-endian unsigned 32-bit) and their
+    checksum. Without `with_ids` the ids are read again only for what is left over.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -262,13 +267,13 @@ def pack(
     rests = ranked.where("bin > 0").withColumn("to", places("bin", "rank"))
 
     in_window = Window.partitionBy("to.window").orderBy("to.place")
+    ids = ["ids"] if with_ids else []
     combined = rests.where("to.window >= 0").select(
-        "doc_id", "start", "length", "doc_tokens", "ids",
+        "doc_id", "start", "length", "doc_tokens", *ids, "ids_crc32",
         F.col("to.window").alias("sequence_id"),
         F.coalesce(
             F.sum("length").over(in_window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("offset"),
-        F.lit(0).alias("skip"), F.col("length").alias("stored"),
     )
 
     # What is left over lies end to end: by task, then by length, the longest first.
@@ -300,9 +305,13 @@ def pack(
     n_left = by_task.agg(F.sum("tokens")).first()[0] or 0
     alone = plan.n_windows + -(-n_left // window)
     filled = whole.select(
-        "doc_id", "start", "length", "doc_tokens", "ids",
+        "doc_id", "start", "length", "doc_tokens", *ids, "ids_crc32",
         (F.col("rank") + alone).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-        F.lit(0).alias("skip"), F.col("length").alias("stored"),
     )
-    rows = filled.unionByName(combined).unionByName(streamed)
-    return rows.mapInArrow(_finish, PACKED)
+    uncut = filled.unionByName(combined)
+    if not with_ids:
+        return uncut.unionByName(streamed.mapInArrow(_finish, PACKED).drop("ids")).select(
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+        )
+    rows = uncut.drop("ids_crc32").withColumns({"skip": F.lit(0), "stored": F.col("length")})
+    return rows.unionByName(streamed).mapInArrow(_finish, PACKED)

@@ -68,7 +68,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048 tokens, a row per piece."""
-    return packing.pack(table(spark, sf_dir, "documents"), Staging(spark)).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), Staging(spark), with_ids=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, by chunk, with a bounded cache per worker."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
@@ -11,61 +11,44 @@ import public_tokenizers
 import tiktoken
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHED_CHUNKS = 1 << 19
+#: The vocabulary's pattern goes back over a run of blanks, which fails on very long ones.
+LONG_BLANK = 1000
 
 # The characters that the vocabulary's pattern takes for white space.
 _SPACES = "\t-\r \x85\xa0  -     　"
+_LONG_BLANK = re.compile(f"[{_SPACES}]{{{LONG_BLANK}}}")
 # The vocabulary's own pattern never crosses the border of such a chunk, so the
-# chunks' ids in a row are the text's ids.
+# chunks' ids in a row are the text's ids. A chunk of blanks is one piece of it.
 _CHUNK = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 
 
-class ChunkEncoder(dict):
-    """Numbers each chunk when first seen and keeps its ids; starts afresh when full."""
+class Encoder:
+    """Turns texts into ids."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoder = tiktoken.Encoding(
-            "chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        self._encoding = tiktoken.Encoding(
+            "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.start_afresh()
-
-    def start_afresh(self) -> None:
-        self.clear()
-        self.size, self.used = 0, 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.counts = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
-
-    def __missing__(self, chunk: str) -> int:
-        found, number = self.encoder.encode_ordinary(chunk), self.size
-        while number >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        while self.used + len(found) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[number], self.counts[number] = self.used, len(found)
-        self.ids[self.used : self.used + len(found)] = found
-        self.used += len(found)
-        self.size += 1
-        self[chunk] = number
-        return number
 
     def encode(self, text: str) -> np.ndarray:
-        if self.size > CACHED_CHUNKS:
-            self.start_afresh()
-        chunks = _CHUNK.findall(text)
-        numbers = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        counts = self.counts[numbers]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat(self.starts[numbers] - (ends - counts), counts)
-        return self.ids[shift + np.arange(total)]
+        if _LONG_BLANK.search(text) is None:
+            return np.array(self._encoding.encode_ordinary(text), np.uint32)
+        ids: list[int] = []
+        between: list[str] = []
+        for chunk in _CHUNK.findall(text):
+            if len(chunk) < LONG_BLANK or not chunk.isspace():
+                between.append(chunk)
+                continue
+            ids += self._encoding.encode_ordinary("".join(between))
+            ids += self._encoding._encode_single_piece(chunk)
+            between = []
+        ids += self._encoding.encode_ordinary("".join(between))
+        return np.array(ids, np.uint32)
 
 
 @cache
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker."""
-    return ChunkEncoder(path)
+    return Encoder(path)

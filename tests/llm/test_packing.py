@@ -25,10 +25,11 @@ def test_chunks_give_the_ids_of_the_whole(text):
     assert ENCODER.encode(text).tolist() == reference(text)
 
 
-def test_cache_starts_afresh(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 3)
-    for text in ("a b c d e f", "g h i", "a b c"):
+def test_very_long_runs_give_the_ids_of_the_whole():
+    blank = " " * 3000
+    for text in (blank, f"a{blank}b", f"{blank}\n\n{blank}x y", "\t" * 1500 + "!" * 5000, f"é {blank}"):
         assert ENCODER.encode(text).tolist() == reference(text)
+    assert len(ENCODER.encode(" " * 400_000 + "a" * 400_000)) > 0
 
 
 def check_pieces(rows, texts):
@@ -67,6 +68,9 @@ def test_packs_every_document(spark, staging):
 def test_odd_documents(spark, staging):
     texts = [None, "", "word " * 5000, "x" * 30_000, "tie", "tie"]
     check_pieces(packing.pack(make_docs(spark, texts), staging).collect(), dict(enumerate(texts)))
+    with_ids = {(r.doc_id, r["start"]): r for r in packing.pack(make_docs(spark, texts), staging).collect()}
+    for r in packing.pack(make_docs(spark, texts), staging, with_ids=False).collect():
+        assert with_ids[r.doc_id, r["start"]].asDict() | {"ids": None} == r.asDict() | {"ids": None}
     repeated = packing.pack(make_docs(spark, ["a", "a"], ids=[1, 1]), staging).collect()
     assert [(r.doc_id, r.doc_tokens) for r in repeated] == [(1, 2)] * 2
     assert packing.pack(make_docs(spark, []), staging).collect() == []

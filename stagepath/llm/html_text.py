@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,12 +54,18 @@ BESIDE_NAMES = frozenset(
 #: Those of them that no text of a page is in, however much of the page they hold.
 NEVER_TEXT = frozenset("comment comments consent cookie cookies disqus gdpr".split())
 
+# Every part is possessive and stops at the next tag, so no start of a tag is gone through to the
+# end of the page in vain. A tag may have a stray quote, and one cut off by the next tag is left out
+# if it has an attribute; otherwise a sign that no ">" follows is text.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)"
+    r"(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,512}+)>"
+    r"|</?[a-zA-Z][^<>]*+>|<[!?][^<>]*+>"
+    r"|</?[a-zA-Z][^\s<>]*+\s[^<>=]*+=[^<>]*+(?=<|\Z)",
+    re.DOTALL,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: A class or id of readers' comments, and not of a page that allows them.
 _COMMENTS = re.compile(
@@ -147,6 +154,7 @@ def blocks(page: str) -> list[Block]:
     # innermost named element, or -1.
     root = ("", False, False, -1)
     stack: list[tuple[str, bool, bool, int]] = []
+    is_open: Counter[str] = Counter()
 
     def close_block() -> None:
         nonlocal linked
@@ -170,24 +178,32 @@ def blocks(page: str) -> list[Block]:
         return one[1] or one[3] >= 0
 
     at = 0
-    for match in _TOKEN.finditer(page):
+    while (match := _TOKEN.search(page, at)) is not None:
         add(page[at : match.start()])
         at = match.end()
         tag = (match["tag"] or "").lower()
         if not tag:
             continue
+        if tag in RAW:
+            if not match["end"]:
+                over = _RAW_END[tag].search(page, at)
+                at = over.end() if over else len(page)
+            continue
         if tag == "br":
             parts.append(" ")
             continue
         beside = tag in BESIDE
         if match["end"]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            open_at = None
+            if is_open[tag]:
+                open_at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
             if tag in BLOCKS or beside or (
                 open_at is not None and is_beside(stack[open_at]) != is_beside(stack[-1])
             ):
                 close_block()
             if open_at is not None:
                 n_links -= sum(one[0] == "a" for one in stack[open_at:])
+                is_open.subtract(one[0] for one in stack[open_at:])
                 del stack[open_at:]
             continue
         outer = stack[-1] if stack else root
@@ -199,10 +215,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "body":
             n_links, stack[:] = 0, []
+            is_open.clear()
             outer = root
         main = outer[2]
         if tag == "p" and outer[0] == "p":
             stack.pop()
+            is_open["p"] -= 1
             outer = stack[-1] if stack else root
         mark = outer[3]
         of_comments = any(_COMMENTS.fullmatch(name) for name in names.split()) if words else False
@@ -216,6 +234,7 @@ def blocks(page: str) -> list[Block]:
             if of_comments:
                 named[mark].comments = mark
         stack.append((tag, outer[1] or beside, main, mark))
+        is_open[tag] += 1
         n_links += tag == "a"
     add(page[at:])
     close_block()

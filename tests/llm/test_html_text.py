@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -117,3 +118,36 @@ def test_articles_of_comments_stay_beside(comments, frame):
     said = comments.replace("{}", OTHER)
     assert html_text.main_text(frame.replace("{}", f"<p>{LONG}</p>{said}")) == LONG
     assert html_text.main_text(frame.replace("{}", f"<p>{LONG}</p>") + said) == LONG
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", "<script ", "<i></b>", "<!", "<style>", "<a \"", "<a \"'\"'", "<p>&", "</a ", "<a x=\">\"", "<b", "<", "<p <",
+     "<div><p>x", "class ", "<a class", "</script ", "<!--x-->", "<p class='ad ", "&#"],
+)
+def test_odd_pages_of_a_megabyte_take_seconds(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 15
+
+
+def test_many_open_and_unknown_elements_take_seconds():
+    start = time.process_time()
+    html_text.main_text("<i>" * 60_000 + "</b>" * 60_000 + "x")
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>one</p><SCRIPT>a <p>b</SCRIPT ><p>two</p>", "one\ntwo"),
+        ("<p>one<script src='x'>if (a < b) {}</script>two</p>", "onetwo"),
+        ("<p>a <b and c</p>", "a <b and c"),
+        ('<p>one<a href="x" <b>two</b></p>', "onetwo"),
+        ("<p>one <br class='x' / >two</p><!DOCTYPE x>", "one two"),
+        ('<p data-x="<b>">in</p>', "in"),
+    ],
+)
+def test_markup_is_told_from_text(page, text):
+    assert html_text.main_text(page) == text

@@ -75,7 +75,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back, a row per capture."""
     staging = Staging(spark)
     path = staging.path("archives")
-    warc.write_archives(warc.records(warc.captures(table(spark, sf_dir, "pages"))), path)
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
     found = warc.read_archives(spark, path, blocks=False)
     assembled = staging.save(warc.assemble(found), "captures")
 

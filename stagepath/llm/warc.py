@@ -25,6 +25,8 @@ RECORD_SCHEMA = (
     " fields map<string, string>, block binary"
 )
 READ_BYTES = 1 << 20
+#: Payload bytes of an archive at most, unless one page has more, and what counts as a small page.
+ARCHIVE_BYTES, SMALL_PAGE = 1 << 29, 1 << 16
 
 
 def base32_sha1(data: Column) -> Column:
@@ -147,6 +149,25 @@ def write_archives(found: DataFrame, path: str, records_per_file: int = 6000) ->
     )
 
 
+def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+    """Writes the records of all pages as archives of at most about ARCHIVE_BYTES, in folders under `path`.
+
+    Pages up to SMALL_PAGE bytes go together, longer ones with those of up to twice their size,
+    so that a number of records bounds the bytes of an archive. Equal payloads are of
+    one size, so revisits and what they refer to stay together.
+    """
+    size = F.greatest(F.octet_length(F.coalesce("html", F.lit(""))), F.lit(SMALL_PAGE))
+    power = F.ceil(F.log2(size.cast("double"))).cast("int")
+    found = sorted(row.power for row in pages.select(power.alias("power")).distinct().collect())
+    for each in found:
+        some = pages if len(found) == 1 else pages.where(power == each)
+        # A page makes three records, of which one holds it.
+        most = max(1, ARCHIVE_BYTES // (1 << each))
+        write_archives(records(captures(some, min_bytes)), f"{path}/{each}", min(6000, 3 * most))
+    if not found:
+        write_archives(records(captures(pages, min_bytes)), f"{path}/none")
+
+
 class _Unzipped:
     """Reads an archive, gzipped as a whole, by record, or not at all, a part at a time."""
 
@@ -253,7 +274,8 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
     ship_code(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select("content")
     return files.mapInArrow(parse, RECORD_SCHEMA)
 
 
@@ -305,6 +327,11 @@ def resolve_revisits(assembled: DataFrame) -> DataFrame:
             F.get("metadata", F.lit(0))["fields"].alias("fields"),
         ).alias("stored"),
     )
-    return assembled.join(
-        stored, F.col("response.refers_to") == F.col("_id"), "left"
-    ).drop("_id")
+    revisits = F.col("response.record_type").eqNullSafe("revisit")
+    # Others refer to nothing: joined, they would meet in the one task of NULL.
+    return (
+        assembled.where(revisits)
+        .join(stored, F.col("response.refers_to") == F.col("_id"), "left")
+        .drop("_id")
+        .unionByName(assembled.where(~revisits), allowMissingColumns=True)
+    )

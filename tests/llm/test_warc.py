@@ -4,7 +4,10 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from stagepath.llm import warc
+from tests.conftest import settings
 from tests.llm.helpers import with_clashes
 
 
@@ -50,6 +53,36 @@ def test_repeated_rows_have_one_response(spark, staging):
     assert kinds == ["response", "response", "revisit", "revisit"]
 
 
+def test_archives_are_cut_by_bytes(spark, staging, monkeypatch):
+    """Pages of 5 MB among small ones: no archive holds more than the bound."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 24)
+    rows = [(i, "u", chr(97 + i) * 5_000_000) for i in range(5)] + [(i, "u", f"page {i % 90}") for i in range(5, 205)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = staging.path("large")
+    warc.write_pages(pages, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = [len(gzip.decompress(row.content)) for row in files.collect()]
+    assert max(sizes) < (1 << 24) + 10_000 and len(sizes) >= 3
+    found = warc.resolve_revisits(staging.save(warc.assemble(warc.read_archives(spark, path, blocks=False)), "large-c"))
+    got = {page_id(r.metadata[0].fields): r.response for r in found.collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    assert all(got[i].payload_digest == digest(html) for i, _, html in rows)
+    assert sum(r.record_type == "response" for r in got.values()) == 95
+    warc.write_pages(pages.limit(0), staging.path("no-pages"))
+
+
+def test_responses_do_not_meet_in_one_task(spark, staging):
+    rows = [(i, "u", f"page {i}") for i in range(400)] + [(1000 + i, "u", "same") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = staging.path("spread")
+    warc.write_pages(pages, path)
+    assembled = staging.save(warc.assemble(warc.read_archives(spark, path)), "spread-c").repartition(8)
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = warc.resolve_revisits(assembled)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 420 and max(sizes) < 120
+
+
 def test_short_payloads_are_all_stored(spark, staging):
     _, found = capture_all(spark, staging, [(1, "u", "x"), (2, "u", "x")], "short", min_bytes=2)
     assert {r.response.record_type for r in found.collect()} == {"response"}

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagepath.staging import Staging
+
 #: The white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 
@@ -26,6 +28,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda word: word != "")
 
 
+ALL = "_all"
+
+
+def in_one(docs: DataFrame) -> DataFrame:
+    """The rows in one column `_all`, so that no name of theirs meets another one."""
+    return docs.select(F.struct("*").alias(ALL))
+
+
+def with_text(docs: DataFrame, rows: DataFrame, text: Column) -> DataFrame:
+    """The columns of `docs` from `_all` with another text; `n_chars` follows it where there is one."""
+    changed = rows.select(ALL, text.alias("_new"))
+    row = F.col(ALL).withField("text", F.col("_new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_new").cast("long"))
+    return changed.select(row.alias(ALL)).select(f"{ALL}.*")
+
+
+_held: list[Staging] = []
+
+
+def held_staging(spark: SparkSession) -> Staging:
+    """A staging folder that lasts until `clean`, as what a query returns is read from it lazily."""
+    _held.append(Staging(spark))
+    return _held[-1]
+
+
+def clean() -> None:
+    """Removes everything that the text queries have written; their results cannot be read any more."""
+    while _held:
+        _held.pop().remove()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagepath.llm.common import ship_code, shuffle_partitions
+from stagepath.llm.common import ALL, in_one, ship_code, shuffle_partitions
 from stagepath.llm.components import components
 from stagepath.staging import Staging
 
@@ -419,7 +419,13 @@ class _Verifier:
 
 
 #: Sizes of sets are told apart in so many levels between a set and the smallest it can be linked to.
-LEVELS = 10
+LEVELS = 6
+
+
+def _bound(percent: int) -> Column:
+    """How large the other set of a link can be that has its first common n-gram here."""
+    n, place = F.col("n"), F.col("place")
+    return F.floor(((100 + percent) * (n - place) - percent * n) / percent)
 
 
 def _sides(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -433,12 +439,11 @@ def _sides(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     step = max(math.log(100 / percent), 0.01) / LEVELS
     n, place = F.col("n"), F.col("place")
-    bound = F.floor(((100 + percent) * (n - place) - percent * n) / percent)
 
     def level(size: Column) -> Column:
         return F.floor(F.log(size.cast("double")) / step)
 
-    bounded = rows.withColumn("bound", bound).withColumn("least", F.ceil(percent * n / 100))
+    bounded = rows.withColumn("bound", _bound(percent)).withColumn("least", F.ceil(percent * n / 100))
     smaller = bounded.where(F.col("bound") >= n).select(
         "gram", level(n).alias("level"), F.col("component").alias("c"), F.col("node").alias("x"),
         n.alias("n_x"), place.alias("place_x"), F.col("bound").alias("bound_x"),
@@ -470,6 +475,17 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return _paired(centres.join(larger, ["gram", "level"]).where("c <> d"))
 
 
+def few_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different components that share an n-gram of few sets and fit by its places."""
+    bounded = rows.select("gram", "component", "node", "n", _bound(percent).alias("bound"))
+    x = bounded.toDF("gram", "c", "x", "n_x", "bound_x")
+    y = bounded.toDF("gram", "d", "y", "n_y", "bound_y")
+    fits = (F.col("n_x") <= F.col("bound_y")) & (F.col("n_y") <= F.col("bound_x"))
+    return x.join(y, "gram").where((F.col("c") < F.col("d")) & fits).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    ).distinct()
+
+
 def fitting_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets of different components that share an n-gram and may be linked by its places.
 
@@ -504,9 +520,10 @@ def near_groups(
        class, and those linked form components. This joins large groups of near copies by
        one pair per member and band.
     2. The n-gram order is cut into fragments. Linked sets share an n-gram in their
-       prefixes. For each that two components share, the class in which it stands foremost is paired
-       with those of other components that fit by size and place.
-    3. All classes of the components that are left, if they share an n-gram of their prefixes and
+       prefixes. Classes of different components that share one of at most COMMON classes are paired if they
+       fit by size and place; of one that more share, the class in which it stands foremost is
+       paired with those that fit.
+    3. All classes of the components that are left, if they share an n-gram of many prefixes and
        fit by size and place, are paired, so that no link between groups is lost.
     Pairs whose parity bits do not rule them out are verified exactly, fragment by fragment.
 
@@ -543,23 +560,26 @@ def near_groups(
     postings = staging.save(shared_prefixes(texts, common, fragments, words, percent), "postings")
 
     def between(found: DataFrame, label: str) -> DataFrame:
-        """The postings of n-grams that two components or more share, with component and size."""
+        """The postings of n-grams that two components or more share, with component and size, and
+        whether there are many of the n-gram."""
         member = components(found, staging, f"{label}-of")
         sized = classes.select("node", "n").join(member, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
         placed = staging.save(postings.join(sized, "node"), f"{label}-placed")
         mixed = placed.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low < high").select("gram")
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            (F.count("*") > COMMON).alias("many"),
+        ).where("low < high").select("gram", "many")
         return staging.save(placed.join(mixed, "gram"), f"{label}-between")
 
     shared = between(links, "first")
-    chosen_pairs = staging.save(star_pairs(shared, percent), "chosen-pairs")
+    few, many = few_pairs(shared.where("not many"), percent), star_pairs(shared.where("many"), percent)
+    chosen_pairs = staging.save(few.unionByName(many).distinct(), "chosen-pairs")
     links = links.unionByName(verifier.links(chosen_pairs, "chosen-links"))
 
     shared = between(links, "second")
-    rest = fitting_pairs(shared, percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
+    rest = fitting_pairs(shared.where("many"), percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
     rest = staging.save(rest, "rest-pairs")
     links = links.unionByName(verifier.links(rest, "rest-links"))
 
@@ -593,8 +613,8 @@ def keep_one_of_each(docs: DataFrame, staging: Staging, **options) -> DataFrame:
         F.col("doc_id").alias("_stay")
     )
     once = stay.groupBy("_stay").agg(F.count("*").alias("_rows"))
-    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_stay")))
+    kept = in_one(docs).join(once, F.col(f"{ALL}.doc_id").eqNullSafe(F.col("_stay")))
     if once.where("_rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id", "text"])
-    return kept.where("_rows = 1").unionByName(repeated).select(*docs.columns)
+        return kept.select(f"{ALL}.*")
+    repeated = kept.where("_rows > 1").withColumn("_text", F.col(f"{ALL}.text")).dropDuplicates(["_stay", "_text"])
+    return kept.where("_rows = 1").select(ALL).unionByName(repeated.select(ALL)).select(f"{ALL}.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagepath.llm.common import words_of
 from stagepath.llm.quality import SYMBOLS
+from stagepath.llm.common import ALL, in_one
 from stagepath.staging import Staging
 
 FEATURES = [
@@ -119,7 +120,7 @@ def classify(
     chance. A host's mean is drawn towards the mean of all, a path's towards its
     host's, the more so the fewer documents it has; how strongly follows from the
     spread between hosts and between paths. A document's own share is taken out of its
-    path before its odds are multiplied by the path's odds against the prior.
+    path and its host before its odds are multiplied by the path's odds against the prior.
 
     Sums per host and path are all that is gathered; a host with very many documents costs a row
     a task. Without labels of both kinds every text's evidence is the prior of 0.5.
@@ -156,16 +157,22 @@ def classify(
     host_strength = _strength(hosts, F.lit(prior))
     host_means = hosts.select(
         "host",
+        F.col("n").alias("host_n"),
+        F.col("total").alias("host_total"),
         ((F.col("total") + host_strength * prior) / (F.col("n") + host_strength)).alias("host_mean"),
     )
     sites = staging.save(paths.join(host_means, "host").drop("host"), "sites")
     path_strength = _strength(sites, F.col("host_mean"))
+    host_mean = (F.col("host_total") - F.col("evidence") + host_strength * prior) / (
+        F.col("host_n") - 1 + host_strength
+    )
     path_mean = (F.col("total") - F.col("evidence") + path_strength * F.col("host_mean")) / (
         F.col("n") - 1 + path_strength
     )
     odds = _logit(F.col("text_chance")) + _logit(F.col("path_mean")) - _logit(F.lit(prior))
     return (
         evidence.join(sites, "path")
+        .withColumn("host_mean", host_mean)
         .withColumn("path_mean", path_mean)
         .withColumn("posterior", 1 / (1 + F.exp(-odds)))
         .select(
@@ -183,4 +190,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, staging: Staging, **options) -
     kept = classify(docs, labels, staging, **options).where("kept").select(
         F.col("doc_id").alias("_kept")
     ).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    rows = in_one(docs).join(kept, F.col(f"{ALL}.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.select(f"{ALL}.*")

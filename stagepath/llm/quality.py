@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagepath.llm.common import SPACE, words_of
+from stagepath.llm.common import ALL, SPACE, in_one, with_text, words_of
 from stagepath.staging import Staging
 
 #: Characters that mark up or junk rather than prose.
@@ -218,12 +218,15 @@ def clean(
         .dropDuplicates(["_judged"])
     )
     own = F.struct(
-        "doc_id", F.xxhash64(host).alias("host"), F.xxhash64("text").alias("text_hash")
+        F.col(f"{ALL}.doc_id").alias("doc_id"),
+        F.xxhash64(F.col(ALL)[host]).alias("host"),
+        F.xxhash64(F.col(f"{ALL}.text")).alias("text_hash"),
     )
-    joined = docs.withColumn("_row", own).join(verdicts, F.col("_row") == F.col("_judged"))
+    joined = in_one(docs).withColumn("_row", own).join(verdicts, F.col("_row") == F.col("_judged"))
+    before = F.col(f"{ALL}.text")
     left = F.array_join(
         F.filter(
-            F.split("text", "\n"),
+            F.split(before, "\n"),
             lambda line: ~F.array_contains(
                 "lines_to_remove",
                 F.xxhash64(F.lower(F.array_join(words_of(line), " "))),
@@ -231,8 +234,4 @@ def clean(
         ),
         "\n",
     )
-    text = F.when(F.size("lines_to_remove") > 0, left).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return with_text(docs, joined, F.when(F.size("lines_to_remove") > 0, left).otherwise(before))

@@ -24,13 +24,12 @@ from stagepath.llm import (
     toxicity,
     warc,
 )
-from stagepath.llm.common import table
-from stagepath.staging import Staging
+from stagepath.llm.common import held_staging, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, and the verdict of the rules on words and on shared lines."""
-    judged = quality.judge(table(spark, sf_dir, "documents"), Staging(spark))
+    judged = quality.judge(table(spark, sf_dir, "documents"), held_staging(spark))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "removed_words", "removed_lines",
@@ -39,7 +38,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's verdict."""
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), Staging(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), held_staging(spark))
     return found.select(
         "doc_id", "start", F.length("value").alias("length"),
         F.sha2("value", 256).alias("value_sha256"), "is_secret",
@@ -50,7 +49,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior chance of every document that it is good, and the verdict."""
     return classifier.classify(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Staging(spark)
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_staging(spark)
     )
 
 
@@ -68,12 +67,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048 tokens, a row per piece."""
-    return packing.pack(table(spark, sf_dir, "documents"), Staging(spark), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), held_staging(spark), with_ids=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back, a row per capture."""
-    staging = Staging(spark)
+    staging = held_staging(spark)
     path = staging.path("archives")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
     found = warc.read_archives(spark, path, blocks=False)
@@ -93,7 +92,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight contiguous shards of nearly equal bytes."""
-    placed = sharding.contiguous_shards(table(spark, sf_dir, "documents"), Staging(spark), 8)
+    placed = sharding.contiguous_shards(table(spark, sf_dir, "documents"), held_staging(spark), 8)
     return placed.select(
         "doc_id",
         "size",
@@ -112,31 +111,31 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of 5-word shingles and its near-duplicate group."""
-    return jaccard.near_groups(table(spark, sf_dir, "documents"), Staging(spark))
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), held_staging(spark))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash fingerprints of every document and its edited text."""
-    return order_minhash.fingerprints(table(spark, sf_dir, "documents"), Staging(spark))
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"), held_staging(spark))
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance of every document that it is toxic."""
     return toxicity.score(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Staging(spark)
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_staging(spark)
     )
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents of highest score for every benchmark item."""
     return lexical.search(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Staging(spark)
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), held_staging(spark)
     )
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2,000 most closely bound phrases of two and three words."""
-    return collocations.collocations(table(spark, sf_dir, "documents"), Staging(spark))
+    return collocations.collocations(table(spark, sf_dir, "documents"), held_staging(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

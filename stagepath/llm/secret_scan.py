@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagepath.llm.common import SPACE, words_of
+from stagepath.llm.common import ALL, SPACE, in_one, with_text, words_of
 from stagepath.staging import Staging
 
 MIN_LENGTH = 16
@@ -52,87 +54,148 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     return [row.word for row in top.collect()]
 
 
+#: Lengths are added up in blocks of so many, so that a place in a long list costs no more than that.
+_BLOCK = 256
+#: What stands before a value in its own word is looked at as far back as so many pieces.
+_PIECES_BACK = 32
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _with_starts(parts: Column, use: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """`use` of a list of strings and of where, in code points, the one at an index begins."""
+
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
+
+    def blocks(lengths: Column) -> Column:
+        last = F.greatest(F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"), F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))),
+        )
+
+    def within(one: Column) -> Column:
+        def start(at: Column) -> Column:
+            block = F.floor(at / _BLOCK).cast("int")
+            return (
+                total(F.slice(one.sums, F.lit(1), block))
+                + total(F.slice(one.lengths, block * _BLOCK + 1, at % _BLOCK))
+            ).cast("long")
+
+        return use(one.parts, start)
+
+    measured = _bound(
+        F.struct(parts.alias("parts"), F.transform(parts, F.length).alias("lengths")),
+        lambda one: F.struct(one.parts, one.lengths, blocks(one.lengths).alias("sums")),
+    )
+    return _bound(measured, within)
+
+
+def _numbers(of: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(of) - 1)
+
+
+def _words_of_interest(docs: DataFrame, path: str, pattern: str, look_back: int, holds: Callable[[Column], Column]) -> DataFrame:
+    """A row per word of the texts that match `pattern`, if the word and the `look_back` before it
+    hold what is looked for: where that stretch begins, the words before it in the
+    stretch (`run_up`), the word, three words before and two after it. A row carries no more of the text."""
+    read = docs.select("doc_id", F.col(path).alias("path"), F.col("text").alias("_text"))
+
+    def around(parts: Column, start: Callable[[Column], Column]) -> Column:
+        def part(at: Column) -> Column:
+            return F.coalesce(F.get(parts, at), F.lit(""))
+
+        def run_up(at: Column) -> Column:
+            return F.concat(F.lit(""), *(part(at - step) for step in range(look_back, 0, -1)))
+
+        def row(at: Column) -> Column:
+            return F.struct(
+                start(at).alias("start"),
+                run_up(at).alias("run_up"),
+                part(at).alias("word"),
+                F.concat_ws(" ", *(F.trim(part(at + step)) for step in (-3, -2, -1))).alias("before"),
+                F.concat_ws(" ", *(F.trim(part(at + step)) for step in (1, 2))).alias("after"),
+            )
+
+        chosen = F.filter(_numbers(parts), lambda at: holds(F.concat(run_up(at), part(at))))
+        return F.transform(chosen, row)
+
+    words = _with_starts(F.split("_text", f"(?<=[{SPACE}])(?=[^{SPACE}])"), around)
+    return read.where(F.col("_text").rlike(pattern)).select(
+        "doc_id", F.xxhash64("_text").alias("text_hash"), "path", F.explode(words).alias("_at")
+    ).select("doc_id", "text_hash", "path", "_at.*")
+
+
+def _lead(pieces: Column, at: Column) -> Column:
+    first = F.greatest(at - _PIECES_BACK, F.lit(0))
+    return F.array_join(F.slice(pieces, first + 1, at - first), "")
+
+
+_FOUND = ("doc_id", "text_hash", "path", "start", "value", "before", "after", "lead")
+
+
 def long_runs(docs: DataFrame, path: str = "source") -> DataFrame:
     """Every run of at least 16 characters as keys have them, with the words around it.
 
     `start` is where the run begins in the text, in code points; `lead` is what its word
-    has before it. NULL texts have none. Texts without a run are passed over
+    has before it, up to 32 runs and gaps back. NULL texts have none. Texts without a run are passed over
     before they are taken apart.
     """
-    read = docs.select("doc_id", F.col(path).alias("path"), F.col("text").alias("_text"))
-    apart = read.where(F.col("_text").rlike(_VALUE)).withColumn(
-        "_parts", F.split("_text", f"(?<=[{SPACE}])(?=[^{SPACE}])")
-    )
-
-    def numbered(parts: str) -> Column:
-        return F.transform(parts, lambda part, i: F.struct(i.alias("at"), part.alias("part")))
 
-    def holds_run(hit: Column) -> Column:
-        return (F.length(hit.part) >= MIN_LENGTH) & hit.part.rlike(_VALUE)
+    def holds_run(piece: Column) -> Column:
+        return (F.length(piece) >= MIN_LENGTH) & piece.rlike(_VALUE)
 
-    found = (
-        apart.withColumn("_word", F.explode(F.filter(numbered("_parts"), holds_run)))
-        .withColumn("_pieces", F.split("_word.part", _BORDER))
-        .withColumn("_run", F.explode(F.filter(numbered("_pieces"), holds_run)))
-    )
+    def runs(pieces: Column, start: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            F.filter(_numbers(pieces), lambda at: holds_run(F.get(pieces, at))),
+            lambda at: F.struct(
+                start(at).alias("within"), F.get(pieces, at).alias("value"), _lead(pieces, at).alias("lead")
+            ),
+        )
 
-    def neighbour(step: int) -> Column:
-        return F.trim(F.coalesce(F.get("_parts", F.col("_word.at") + step), F.lit("")))
-
-    before = F.array_join(F.slice("_parts", F.lit(1), F.col("_word.at")), "")
-    lead = F.array_join(F.slice("_pieces", F.lit(1), F.col("_run.at")), "")
-    return found.select(
-        "doc_id",
-        F.xxhash64("_text").alias("text_hash"),
-        "path",
-        (F.length(before) + F.length(lead)).cast("long").alias("start"),
-        F.col("_run.part").alias("value"),
-        F.concat_ws(" ", neighbour(-3), neighbour(-2), neighbour(-1)).alias("before"),
-        F.concat_ws(" ", neighbour(1), neighbour(2)).alias("after"),
-        lead.alias("lead"),
-    )
+    words = _words_of_interest(docs, path, _VALUE, 0, holds_run)
+    found = words.withColumn("_run", F.explode(_with_starts(F.split("word", _BORDER), runs)))
+    return found.select("*", "_run.*").withColumn("start", F.col("start") + F.col("within")).select(*_FOUND)
 
 
 def assigned_values(docs: DataFrame, path: str = "source") -> DataFrame:
     """Values of at least 8 characters assigned to names of credentials that hold no long run,
     being short or broken up by punctuation, in the columns of `long_runs`.
 
-    Stops, colons and question marks at the end are left off. Addresses are no values.
+    Stops, colons and question marks at the end are left off. Addresses are no values. A name, its sign
+    and its value lie in three words at most.
     """
-    read = docs.select("doc_id", F.col(path).alias("path"), F.col("text").alias("_text"))
-    pieces = read.where(F.col("_text").rlike(_ASSIGNED)).withColumn(
-        "_pieces", F.split("_text", _ASSIGNED_AT)
-    )
-    value = F.regexp_replace(F.regexp_extract("_piece", f"^[{_WIDE}]+", 0), r"[.:?]+$", "")
-    near = F.right("_head", F.lit(400))
-    found = (
-        pieces.select("*", F.posexplode("_pieces").alias("_at", "_piece"))
-        .where("_at > 0")
-        .withColumn("value", value)
-        .where(
-            (F.length("value") >= MIN_ASSIGNED)
-            & ~F.col("value").rlike(_VALUE)
-            & ~F.contains("value", F.lit("://"))
+
+    def value_of(piece: Column) -> Column:
+        return F.regexp_replace(F.regexp_extract(piece, f"^[{_WIDE}]+", 0), r"[.:?]+$", "")
+
+    def values(pieces: Column, start: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            F.filter(_numbers(pieces), lambda at: at > 0),
+            lambda at: F.struct(
+                start(at).alias("within"),
+                value_of(F.get(pieces, at)).alias("value"),
+                _lead(pieces, at).alias("_head"),
+            ),
         )
-        .withColumn("_head", F.array_join(F.slice("_pieces", F.lit(1), F.col("_at")), ""))
-        .withColumn("_rest", F.substr("_text", F.length("_head") + F.length("value") + 1, F.lit(400)))
-    )
-    others, blanks = f"[^{SPACE}]+", f"[{SPACE}]+"
-
-    def words(text: Column) -> Column:
-        return F.trim(F.regexp_replace(text, blanks, " "))
-
-    return found.select(
-        "doc_id",
-        F.xxhash64("_text").alias("text_hash"),
-        "path",
-        F.length("_head").cast("long").alias("start"),
-        "value",
-        words(F.regexp_extract(near, f"((?:{others}{blanks}){{0,3}})[^{SPACE}]*$", 1)).alias("before"),
-        words(
-            F.regexp_extract("_rest", f"^[^{SPACE}]*{blanks}({others}(?:{blanks}{others})?)", 1)
-        ).alias("after"),
-        F.regexp_extract(near, f"[^{SPACE}]*$", 0).alias("lead"),
+
+    words = _words_of_interest(docs, path, _ASSIGNED, 2, lambda text: text.rlike(_ASSIGNED))
+    stretch = F.concat("run_up", "word")
+    found = words.withColumn("_run", F.explode(_with_starts(F.split(stretch, _ASSIGNED_AT), values)))
+    value = F.col("value")
+    return (
+        found.select("*", "_run.*")
+        .withColumn("within", F.col("within") - F.length("run_up"))
+        # Those of the words before are found with their own word.
+        .where((F.col("within") >= 0) & (F.length(value) >= MIN_ASSIGNED))
+        .where(~value.rlike(_VALUE) & ~F.contains(value, F.lit("://")))
+        .withColumn("lead", F.right("_head", F.least(F.col("within"), F.length("_head").cast("long")).cast("int")))
+        .withColumn("start", F.col("start") + F.col("within"))
+        .select(*_FOUND)
     )
 
 
@@ -314,17 +377,13 @@ def redact(docs: DataFrame, staging: Staging, path: str = "source", **options) -
             .alias("_values")
         )
     )
-    own = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    before = F.col(f"{ALL}.text")
+    own = F.struct(F.col(f"{ALL}.doc_id").alias("doc_id"), F.xxhash64(before).alias("text_hash"))
     text = F.when(
         F.col("_values").isNotNull(),
-        F.aggregate(
-            "_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(PLACEHOLDER))
-        ),
-    ).otherwise(F.col("text"))
-    joined = docs.withColumn("_row", own).join(
+        F.aggregate("_values", before, lambda t, v: F.replace(t, v, F.lit(PLACEHOLDER))),
+    ).otherwise(before)
+    joined = in_one(docs).withColumn("_row", own).join(
         staging.save(secrets, "secrets"), F.col("_row") == F.col("_found"), "left"
     )
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return with_text(docs, joined, text)

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from stagepath.llm import classifier
@@ -79,3 +80,37 @@ def test_kept_documents_have_their_own_columns(spark, staging):
     docs, labels = labelled(spark)
     kept = classifier.keep_good(docs, labels, staging)
     assert kept.columns == docs.columns and 90 <= kept.count() <= 110
+
+
+def test_posteriors_match_plain_arithmetic(spark, staging):
+    """The chances of the texts taken as they are, all else computed again in NumPy, row by row."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{TESTDATA}/sf0.01/labels.parquet")
+    found = classifier.classify(docs, labels, staging).toPandas().set_index("doc_id").sort_index()
+    given = docs.select("doc_id", "source", "lang").toPandas().set_index("doc_id").sort_index()
+    known = labels.toPandas().groupby("doc_id")["quality"].mean() >= 0.5
+    chance = found["text_chance"].to_numpy()
+    marks = known.reindex(found.index)
+    share = np.where(marks.isna(), chance, marks.eq(True).astype(float))
+
+    def groups(*names):
+        return given.groupby(list(names)).ngroup().to_numpy()
+
+    def strength(n, total, prior):
+        free = prior * (1 - prior)
+        excess = ((n * (total / n - prior) ** 2).sum() - free.sum()) / ((n - 1) * free).sum()
+        return 1 / min(max(excess, 1e-4), 0.99) - 1
+
+    host, path = groups("source"), groups("source", "lang")
+    n_h, t_h = np.bincount(host), np.bincount(host, share)
+    n_p, t_p = np.bincount(path), np.bincount(path, share)
+    prior = min(max(t_h.sum() / n_h.sum(), 0.01), 0.99)
+    s_h = strength(n_h, t_h, np.full(len(n_h), prior))
+    mean_h = (t_h + s_h * prior) / (n_h + s_h)
+    s_p = strength(n_p, t_p, np.array([mean_h[host[path == p][0]] for p in range(len(n_p))]))
+    host_mean = (t_h[host] - share + s_h * prior) / (n_h[host] - 1 + s_h)
+    path_mean = (t_p[path] - share + s_p * host_mean) / (n_p[path] - 1 + s_p)
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    posterior = 1 / (1 + np.exp(-(logit(chance) + logit(path_mean) - logit(prior))))
+    assert np.allclose(found["posterior"], posterior, atol=1e-9)
+    assert (found["kept"] == (posterior >= 0.5)).all()

@@ -294,6 +294,11 @@ def oracle_sql() -> dict[str, str]:
             "count(*) filter (category_code is null) from p1 "
             "union all select count(*), 'brand', count(brand), count(*) filter (brand is null) from p1"
         ),
+        "segment_cube": _banded(
+            "select price_group, category_code, brand, session_group, product_id is not null as known_product, "
+            f"coalesce(view_price > 0, false) as above_zero, {COUNTS}, count(view_price) as known_price, "
+            "round(min(view_price), 6) as lowest from banded group by all"
+        ),
         "price_distribution": _pairs(
             "select round(min(view_price), 6) as min_price, "
             + ", ".join(

@@ -87,3 +87,48 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
 def significant(value: Column, digits: int) -> Column:
     """The double nearest to a value's decimal form with so many significant digits."""
     return F.when(value.isNotNull(), F.format_string(f"%.{digits - 1}e", value).cast("double"))
+
+
+# Coefficients of the rational approximations to the inverse of the normal
+# distribution (algorithm AS 241, Wichura 1988), lowest power first, for the middle, the tails and the far tails.
+NORMAL_MIDDLE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+     45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+     21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+NORMAL_TAIL = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+     1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+     0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9),
+)
+NORMAL_FAR_TAIL = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+     0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+     0.000786869131145613259100, 0.0000184631831751005468180, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def _ratio(x: Column, coefficients: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+    def polynomial(powers: tuple[float, ...]) -> Column:
+        total = F.lit(powers[-1])
+        for coefficient in powers[-2::-1]:
+            total = total * x + F.lit(coefficient)
+        return total
+
+    above, below = coefficients
+    return polynomial(above) / polynomial(below)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The value below which a normal variable lies with probability `p`; NULL unless 0 < p < 1."""
+    p = p.cast("double")
+    off = p - 0.5
+    tail = F.sqrt(-F.ln(F.when(off < 0, p).otherwise(1.0 - p)))
+    far = F.when(tail <= 5.0, _ratio(tail - 1.6, NORMAL_TAIL)).otherwise(_ratio(tail - 5.0, NORMAL_FAR_TAIL))
+    value = F.when(F.abs(off) <= 0.425, off * _ratio(0.180625 - off * off, NORMAL_MIDDLE)).otherwise(
+        F.when(off < 0, -far).otherwise(far)
+    )
+    return F.when((p > 0) & (p < 1), value)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagepath.functions.numeric import chi_square_tail, round_at
+from stagepath.functions.numeric import chi_square_tail, normal_quantile, round_at
 
 # 5 % two-sided significance and 80 % power.
 Z_ALPHA = 1.96
@@ -67,9 +67,20 @@ def uplift_targets(baseline: DataFrame, uplifts: Sequence[int] = UPLIFTS) -> Dat
 
 
 def sample_size(
-    scenarios: DataFrame, z_alpha: float = Z_ALPHA, z_beta: float = Z_BETA
+    scenarios: DataFrame,
+    z_alpha: float | Column = Z_ALPHA,
+    z_beta: float | Column = Z_BETA,
+    level: float | Column | None = None,
+    power: float | Column | None = None,
 ) -> DataFrame:
-    """Adds the size needed per group to tell the proportions p1 and p2 apart."""
+    """Adds the size needed per group to tell the proportions p1 and p2 apart.
+
+    `level` (two-sided) and `power`, numbers or columns of the scenarios, replace the two fixed values.
+    """
+    if level is not None:
+        z_alpha = normal_quantile(1.0 - F.lit(level) / 2.0)
+    if power is not None:
+        z_beta = normal_quantile(F.lit(power))
     p1, p2 = F.col("p1"), F.col("p2")
     mean = (p1 + p2) / 2.0
     noise = z_alpha * F.sqrt(2.0 * mean * (1.0 - mean)) + z_beta * F.sqrt(

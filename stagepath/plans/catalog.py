@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stagepath.functions.numeric import round_at, significant
 from stagepath.model import FUNNEL
-from stagepath.operators import conversion, depth, experiment, profile, segments, stages
+from stagepath.operators import conversion, cube, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
 from stagepath.plans.mart_store import MartStore
 from stagepath.sources import event_log, event_table
@@ -164,6 +164,10 @@ def _first_view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(conversion.first_view_events(stored_mart(spark, sf_dir), ev))
 
 
+def _segment_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comparable(cube.segment_cube(stored_mart(spark, sf_dir), stored_sessions(spark, sf_dir)))
+
+
 def _by_week(operator: Callable[[DataFrame, str], DataFrame]) -> Query:
     return _on_log(lambda ev: operator(ev.withColumn("period", week()), "period"))
 
@@ -226,6 +230,7 @@ def queries() -> dict[str, Query]:
             lambda em: segments.category_price_conversion(em, CATEGORY_B)
         ),
         "top_category_price_conversion": _on_mart(segments.top_category_price_conversion),
+        "segment_cube": _segment_cube,
         # Session depth
         "session_depth_distribution": _on_sessions(depth.session_depth_distribution),
         "depth_band_conversion": _on_sessions(depth.depth_band_conversion),

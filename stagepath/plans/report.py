@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagepath.operators import conversion, depth, experiment, profile, segments, stages
+from stagepath.operators import conversion, cube, depth, experiment, profile, segments, stages
 from stagepath.plans import mart as mart_plan
 from stagepath.sources.event_log import Logs, ingest_events, labelled
 from stagepath.staging import Staging
@@ -48,45 +48,45 @@ def event_reports(ev: DataFrame) -> dict[str, DataFrame]:
 def mart_reports(
     em: DataFrame,
     sessions: DataFrame,
+    counts: DataFrame,
     ev: DataFrame,
     steps: dict[str, dict[str, int]],
     categories: Sequence[str] = CATEGORIES,
     baseline: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Everything that is read off the enriched mart and its sessions. `steps` are the counts
-    after each stage; planning starts from `baseline`, or from the measured one."""
+    """Everything that is read off the enriched mart, its sessions and its cube of `counts`. `steps`
+    are the counts after each stage; planning starts from `baseline`, or from the measured one."""
     mart = em.select(stages.mart_columns())
     measured = depth.multi_view_baseline(sessions)
     baseline = measured if baseline is None else baseline
-    crosstab = depth.depth_cart_crosstab(sessions)
+    crosstab = cube.depth_cart_crosstab(counts)
+    known = counts.where("known_product")
     reports = {
         "Mart columns": conversion.mart_schema(mart),
         "Mart sample": conversion.mart_sample(mart),
         "Rows after each step": conversion.stage_row_checks(steps, em),
         "Events at the first view": conversion.first_view_events(em, ev),
         "Funnel": conversion.funnel_totals(em),
-        "Known first-view attributes": segments.first_view_coverage(em),
+        "Known first-view attributes": cube.first_view_coverage(counts),
         "First-view prices": segments.price_distribution(em),
-        "Price bands": segments.price_band_counts(em),
-        "Conversion by price band": segments.price_band_conversion(
-            em.where(conversion.has_product())
-        ),
-        "Conversion of the top categories": conversion.top_conversion(em, "category_code"),
-        "Conversion of the top brands": conversion.top_conversion(em, "brand"),
-        "Price bands of the top categories": segments.category_price_mix(em),
+        "Price bands": cube.price_band_counts(counts),
+        "Conversion by price band": cube.price_band_conversion(known),
+        "Conversion of the top categories": cube.top_conversion(counts, "category_code"),
+        "Conversion of the top brands": cube.top_conversion(counts, "brand"),
+        "Price bands of the top categories": cube.category_price_mix(counts),
     }
     for category in categories:
-        reports[f"{category} by price band"] = segments.category_price_conversion(em, category)
+        reports[f"{category} by price band"] = cube.category_price_conversion(counts, category)
     reports |= {
         "Products viewed per session": depth.session_depth_distribution(sessions),
         "Conversion by depth": depth.depth_band_conversion(sessions),
-        f"{categories[0]} by depth": depth.category_depth_conversion(em, categories[0]),
+        f"{categories[0]} by depth": cube.category_depth_conversion(counts, categories[0]),
         "Pairs with a cart by depth": crosstab,
         "Independence of depth and cart": experiment.chi_square(crosstab),
         "Sessions with a cart by depth": depth.session_depth_any_cart(sessions),
         "Cart rate per session by depth": depth.depth_cart_rate(sessions),
         "Purchase rate per session by depth": depth.depth_purchase_rate(sessions),
-        "Top categories by price band": segments.top_category_price_conversion(em),
+        "Top categories by price band": cube.top_category_price_conversion(counts),
         "Baseline of comparing sessions": measured,
         "Targets": experiment.uplift_targets(baseline),
         "Sample size of the fixed target": experiment.sample_size_fixed(baseline),
@@ -127,10 +127,11 @@ def run(
         )
         steps = mart_plan.step_counts(staging)
     sessions = mart_plan.write_mart(depth.sessions(em), f"{tables}/sessions")
+    counts = mart_plan.write_mart(cube.segment_cube(em, sessions), f"{tables}/segments")
     return (
         log_reports(log)
         | event_reports(ev)
-        | mart_reports(em, sessions, ev, steps, baseline=baseline)
+        | mart_reports(em, sessions, counts, ev, steps, baseline=baseline)
     )
 
 

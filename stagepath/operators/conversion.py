@@ -106,14 +106,22 @@ def first_view_events(mart: DataFrame, ev: DataFrame, n: int = 5) -> DataFrame:
     """Views at the very time of a pair's first view, the first `n` in order.
 
     Every pair with a product has at least one such view, so the first `n` rows
-    come from the first `n` pairs, and only those `n` rows meet the log.
+    come from the first `n` pairs. Their sessions and times, `n` of each, are known before the log is
+    read, so files, row groups and days (of a log laid out by day) that hold none of them are passed over.
     """
     keys = ["user_session", "product_id", "first_view"]
     pairs = mart.where(has_product() & F.col("first_view").isNotNull())
-    heads = pairs.select(*keys).orderBy(*keys).limit(n)
+    heads = pairs.select(*keys).orderBy(*keys).limit(n).collect()
     carried = ["price", "category_id", "category_code", "brand"]
-    views = ev.where(F.col("event_type") == "view").select(
-        *keys[:2], F.col("event_time").alias("first_view"), *carried
-    )
-    found = views.join(heads, keys).select(*keys, *carried)
+    views = ev.where(F.col("event_type") == "view")
+    if heads:
+        times = [row.first_view for row in heads]
+        views = views.where(F.col("event_time").between(min(times), max(times)))
+        views = views.where(F.col("user_session").isin(sorted({row.user_session for row in heads})))
+        if "event_date" in ev.columns:
+            days = sorted({time.date() for time in times})
+            views = views.where(F.col("event_date").isin(days))
+    views = views.select(*keys[:2], F.col("event_time").alias("first_view"), *carried)
+    wanted = mart.sparkSession.createDataFrame(heads, pairs.select(*keys).schema)
+    found = views.join(wanted, keys).select(*keys, *carried)
     return found.orderBy(*keys, *carried).limit(n)

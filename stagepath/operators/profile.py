@@ -44,6 +44,33 @@ def log_profile(ev: DataFrame, period: str) -> DataFrame:
     )
 
 
+#: Sketches of 2^12 registers: the estimate is within 3.3 % of the exact number in 95 of 100 cases.
+SKETCH_BITS = 12
+SKETCHED = {"users": "user_id", "sessions": "user_session"}
+
+
+def distinct_sketches(ev: DataFrame, *by: str) -> DataFrame:
+    """Events of each log or period, and sketches of its users and sessions of a few kilobytes each.
+
+    Stored per log, they stand in for it when distinct counts over several logs are wanted.
+    """
+    return ev.groupBy(*by).agg(
+        F.count("*").alias("total_events"),
+        *(F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(name) for name, c in SKETCHED.items()),
+    )
+
+
+def approximate_profile(sketches: DataFrame, *by: str) -> DataFrame:
+    """Events, users and sessions of the logs that `sketches` holds, added up per `by`.
+
+    Users and sessions are estimates; `log_profile` counts them exactly. A user of several logs counts once.
+    """
+    return sketches.groupBy(*by).agg(
+        F.coalesce(F.sum("total_events"), F.lit(0)).alias("total_events"),
+        *(F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in SKETCHED),
+    )
+
+
 def event_type_counts(ev: DataFrame, *by: str) -> DataFrame:
     counts = ev.groupBy(*by, "event_type").agg(F.count("*").alias("event_count"))
     return counts.orderBy(*by, F.desc("event_count"), "event_type")

@@ -13,6 +13,7 @@ QUERIES = catalog.queries()
 ORACLES = duckdb_sql.oracle_sql()
 TYPES = {
     "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
     "int": "INTEGER",
     "string": "VARCHAR",
     "double": "DOUBLE",

@@ -419,7 +419,7 @@ class _Verifier:
 
 
 #: Sizes of sets are told apart in so many levels between a set and the smallest it can be linked to.
-LEVELS = 6
+LEVELS = 12
 
 
 def _bound(percent: int) -> Column:

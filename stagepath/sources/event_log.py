@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import posixpath
+import warnings
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -86,7 +88,19 @@ def _sources_path(table_path: str) -> str:
     return f"{table_path}/_sources"
 
 
-def _stored_sources(spark: SparkSession, table_path: str) -> dict[str, list[str]] | None:
+def _stamp(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest that changes when files of a log do: their names, sizes and times, from the listing alone."""
+    files = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for found in store.globStatus(place) or []:
+            held = store.listStatus(found.getPath()) if found.isDirectory() else [found]
+            files += [(one.getPath().toString(), one.getLen(), one.getModificationTime()) for one in held]
+    return hashlib.sha256(json.dumps(sorted(files)).encode()).hexdigest()
+
+
+def _stored_sources(spark: SparkSession, table_path: str) -> dict[str, dict] | None:
     """What a finished table was ingested from; None for one that is not finished.
 
     The record is written after the table's own commit, and counts once it is
@@ -108,7 +122,8 @@ def ingest_events(
 ) -> DataFrame:
     """Converts CSV logs to Parquet unless that has been done in full at `table_path`.
 
-    A finished table of other logs is an error. A gzip file is read by one task,
+    A finished table of other logs is an error. One of logs whose files have been written anew since
+    stays as it is, with a warning that names them. A gzip file is read by one task,
     so a log is best delivered as many files; no shuffle is spent on evening them
     out, as Parquet splits on reading. `by_day` lays the table out by date, so a
     query over a month reads a month; `by_source` keeps the label of each row's
@@ -120,11 +135,20 @@ def ingest_events(
     if by_day:
         events = events.withColumn("event_date", F.to_date("event_time"))
         layout = [*layout, "event_date"]
-    sources, stored = labelled(logs), _stored_sources(spark, table_path)
+    sources = {
+        label: {"paths": paths, "files": _stamp(spark, paths)} for label, paths in labelled(logs).items()
+    }
+    stored = _stored_sources(spark, table_path)
     if stored is None:
         events.write.mode("overwrite").partitionBy(*layout).parquet(table_path)
         record = spark.createDataFrame([(json.dumps(sources),)], "value string")
         record.coalesce(1).write.text(_sources_path(table_path))
-    elif stored != sources:
+    elif {label: one["paths"] for label, one in stored.items()} != labelled(logs):
         raise ValueError(f"{table_path} holds the events of {stored}, not of {sources}")
+    else:
+        changed = sorted(label for label, one in sources.items() if stored[label] != one)
+        if changed:
+            warnings.warn(
+                f"{changed} changed after {table_path} was made, which keeps the events it has", stacklevel=2
+            )
     return spark.read.schema(events.schema).parquet(table_path)

@@ -129,6 +129,16 @@ def test_ingest_keeps_a_finished_table_of_the_same_logs(spark, tmp_path):
         ingest_events(spark, log_file(tmp_path, "b.csv.gz", LINES), table)
 
 
+def test_a_log_written_anew_is_told(spark, tmp_path, recwarn):
+    table, path = str(tmp_path / "events"), log_file(tmp_path, "a.csv.gz", LINES)
+    ingest_events(spark, path, table)
+    ingest_events(spark, path, table)
+    assert not [w for w in recwarn if "changed after" in str(w.message)]
+    log_file(tmp_path, "a.csv.gz", LINES * 3)
+    with pytest.warns(UserWarning, match="a.csv.gz.*changed after"):
+        assert profile.row_count(ingest_events(spark, path, table)).first().total_rows == 2
+
+
 @pytest.mark.parametrize("mark", ["_SUCCESS", "_sources/_SUCCESS"])
 def test_unfinished_tables_are_ingested_again(spark, tmp_path, mark):
     table, path = tmp_path / "events", log_file(tmp_path, "a.csv.gz", LINES)

@@ -23,9 +23,9 @@ DROP_PERCENT = 50
 TOP = 2000
 NO_LANG = "und"
 #: Words that a task turns into one graph before it sends it.
-HELD_WORDS = 1 << 22
+HELD_WORDS = 1 << 21
 #: Bytes of text for each bucket in which graphs are merged.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 23
 #: The most frequent words of a sample of so many texts, each up to so many characters, are
 #: looked up to spread the edges between them. They only decide where rows are merged.
 SAMPLE_TEXTS, SAMPLE_CHARS, HOT_WORDS = 2000, 10000, 200

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagepath.llm.common import ALL, in_one, ship_code, shuffle_partitions
@@ -194,6 +194,14 @@ def _marks(grams: np.ndarray, fragments: int) -> np.ndarray:
     return grams >> np.uint64(33 - fragments.bit_length())
 
 
+def _is_common(grams: np.ndarray, many: np.ndarray, fragments: int) -> np.ndarray:
+    """Whether the mark of each n-gram is among the sorted marks of the common ones."""
+    if not len(many):
+        return np.zeros(len(grams), bool)
+    marks = _marks(grams, fragments)
+    return many[np.minimum(np.searchsorted(many, marks), len(many) - 1)] == marks
+
+
 def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int) -> np.ndarray:
     """Sorted marks of the n-grams that more than COMMON documents hold, counted over all of them.
 
@@ -258,11 +266,13 @@ def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int)
 def shared_prefixes(
     texts: DataFrame, common: Broadcast, fragments: int, words: int, percent: int
 ) -> DataFrame:
-    """(gram, node, place) of every n-gram that stands in the prefixes of two sets or more, and its
-    place there. The order puts the common n-grams behind the others.
+    """(gram, node, place, rare) of every n-gram that stands in the prefixes of two sets or more, its
+    place there and how many n-grams of the set are not common. The order puts the common
+    n-grams behind the others, so an n-gram is common if its place is not below `rare`.
     """
     schema = pa.schema(
-        [("fragment", pa.int64()), ("grams", pa.binary()), ("nodes", pa.binary()), ("places", pa.binary())]
+        [("fragment", pa.int64()), ("grams", pa.binary()), ("nodes", pa.binary()), ("places", pa.binary()),
+         ("rares", pa.binary())]
     )
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,30 +282,30 @@ def shared_prefixes(
             grams = np.concatenate(held)
             nodes = np.repeat(np.array(owners, np.int64), [*map(len, held)])
             places = np.concatenate([np.arange(len(prefix), dtype=np.int32) for prefix in held])
+            rares = np.repeat(np.array(rare, np.int32), [*map(len, held)])
             order = np.argsort(grams, kind="stable")
-            grams, nodes, places = grams[order], nodes[order], places[order]
+            grams, nodes, places, rares = grams[order], nodes[order], places[order], rares[order]
             return _batch(schema, [
-                (part, grams[at].tobytes(), nodes[at].tobytes(), places[at].tobytes())
+                (part, grams[at].tobytes(), nodes[at].tobytes(), places[at].tobytes(), rares[at].tobytes())
                 for part, at in _split(grams, fragments)
             ])
 
-        held, owners, size, seen = [], [], 0, set()
+        held, owners, rare, size, seen = [], [], [], 0, set()
         for grams in _grams_of(batches, words):
             node = _node(grams)
             if node in seen:
                 continue
             seen.add(node)
             length = prefix_length(len(grams), percent)
-            if len(many):
-                marks = _marks(grams, fragments)
-                last = many[np.minimum(np.searchsorted(many, marks), len(many) - 1)] == marks
-                grams = np.concatenate([grams[~last], grams[last]])
+            last = _is_common(grams, many, fragments)
+            grams = np.concatenate([grams[~last], grams[last]])
             held.append(grams[:length])
             owners.append(node)
+            rare.append(len(grams) - int(last.sum()))
             size += length
             if size > HELD_GRAMS:
                 yield send()
-                held, owners, size = [], [], 0
+                held, owners, rare, size = [], [], [], 0
         if held:
             yield send()
         pa.default_memory_pool().release_unused()
@@ -304,20 +314,21 @@ def shared_prefixes(
         grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]])
         nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["nodes"]])
         places = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group["places"]])
+        rares = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in group["rares"]])
         order = np.lexsort((nodes, grams))
-        grams, nodes, places = grams[order], nodes[order], places[order]
+        grams, nodes, places, rares = grams[order], nodes[order], places[order], rares[order]
         new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])])
-        grams, nodes, places = grams[new], nodes[new], places[new]
+        grams, nodes, places, rares = grams[new], nodes[new], places[new], rares[new]
         same = np.concatenate([[False], grams[1:] == grams[:-1]])
         twice = same | np.concatenate([same[1:], [False]])
         return pa.table(
-            {"gram": grams[twice].view(np.int64), "node": nodes[twice], "place": places[twice]}
+            {"gram": grams[twice].view(np.int64), "node": nodes[twice], "place": places[twice], "rare": rares[twice]}
         )
 
     return (
-        texts.mapInArrow(prefixes, "fragment long, grams binary, nodes binary, places binary")
+        texts.mapInArrow(prefixes, "fragment long, grams binary, nodes binary, places binary, rares binary")
         .groupBy("fragment")
-        .applyInArrow(shared, "gram long, node long, place int")
+        .applyInArrow(shared, "gram long, node long, place int, rare int")
     )
 
 
@@ -332,8 +343,9 @@ class _Verifier:
         self.docs, self.classes, self.staging = docs, classes, staging
         self.key, self.text, self.words, self.percent = key, text, words, percent
 
-    def _fragments(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, cut, grams) of the given classes, from one document of each.
+    def _fragments(self, nodes: DataFrame, common: Broadcast | None, fragments: int) -> DataFrame:
+        """(node, n, n_common, cut, grams, frequent) of the given classes, from one document of each;
+        `grams` are those that are not common, all of them if none are named.
 
         A filter of fixed size, one bit per hashed doc_id, spares taking most other texts
         apart; what it lets through beside is joined with no pair.
@@ -349,10 +361,12 @@ class _Verifier:
         chosen = spark.sparkContext.broadcast(bits)
         n_words = self.words
         schema = pa.schema(
-            [("node", pa.int64()), ("n", pa.int64()), ("cut", pa.int32()), ("grams", pa.list_(pa.int64()))]
+            [("node", pa.int64()), ("n", pa.int64()), ("n_common", pa.int64()), ("cut", pa.int32()),
+             ("grams", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64()))]
         )
 
         def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = np.zeros(0, np.uint64) if common is None else common.value
             for batch in batches:
                 rows, size = [], 0
                 for place, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -361,9 +375,11 @@ class _Verifier:
                     grams = gram_set(value.as_py(), n_words)
                     if not len(grams):
                         continue
-                    node = _node(grams)
+                    node, last = _node(grams), _is_common(grams, many, fragments)
+                    signed, n_common = grams.view(np.int64), int(last.sum())
                     for cut, at in _split(grams, CUTS):
-                        rows.append((node, len(grams), cut, grams[at].view(np.int64)))
+                        part, often = signed[at], last[at]
+                        rows.append((node, len(grams), n_common, cut, part[~often], part[often]))
                     size += len(grams)
                     if size > HELD_GRAMS // 4:
                         yield _batch(schema, rows)
@@ -371,7 +387,7 @@ class _Verifier:
                 yield _batch(schema, rows)
 
         return self.docs.select(_place(F.col(self.key).cast("long")), F.col(self.text)).mapInArrow(
-            take_apart, "node long, n long, cut int, grams array<long>"
+            take_apart, "node long, n long, n_common long, cut int, grams array<long>, frequent array<long>"
         )
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
@@ -393,29 +409,61 @@ class _Verifier:
         sized = pairs.join(side("b"), "b").join(side("a"), "a")
         return sized.where(possible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
 
-    def links(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Those of the stored pairs (a, b) of classes that are linked.
+    def links(
+        self, pairs: DataFrame, label: str, common: Broadcast | None = None, fragments: int = 1
+    ) -> DataFrame:
+        """(a, b, spared): those of the stored pairs of classes that are linked, and if the common n-grams
+        are given, the one of the two, if any, that the other stands in for.
 
         Each fragment's overlap is counted by itself and the counts are summed per pair.
         Repeated documents give the same count again, of which the largest is taken.
         """
         pairs = self.staging.save(self._possible(pairs), f"{label}-possible")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        cuts = self.staging.save(self._fragments(nodes), f"{label}-cuts")
-        left = cuts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "cut", F.col("grams").alias("grams_b"))
-        right = cuts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "cut", F.col("grams").alias("grams_a"))
-        overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+        cuts = self.staging.save(self._fragments(nodes, common, fragments), f"{label}-cuts")
+
+        def side(name: str) -> DataFrame:
+            renamed = (F.col(c).alias(f"{c}_{name}") for c in ("n", "n_common", "grams", "frequent"))
+            return cuts.select(F.col("node").alias(name), "cut", *renamed)
+
+        def largest(*names: str) -> list[Column]:
+            return [F.max(name).alias(name) for name in (*names, "n_a", "n_b", "n_common_a", "n_common_b")]
+
+        often = F.size(F.array_intersect("frequent_a", "frequent_b"))
+        overlap = F.size(F.array_intersect("grams_a", "grams_b")) + often
         counted = (
-            pairs.join(left, "b")
-            .join(right, ["a", "cut"])
-            .select("a", "b", "cut", "n_a", "n_b", overlap.alias("overlap"))
+            pairs.join(side("b"), "b")
+            .join(side("a"), ["a", "cut"])
+            .withColumns({"overlap": overlap, "often": often})
             .groupBy("a", "b", "cut")
-            .agg(F.max("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+            .agg(*largest("overlap", "often"))
             .groupBy("a", "b")
-            .agg(F.sum("overlap").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+            .agg(F.sum("overlap").alias("both"), F.sum("often").alias("both_common"), *largest())
         )
         linked = 100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
-        return self.staging.save(counted.where(linked).select("a", "b"), label)
+        spared = F.lit(None).cast("long") if common is None else F.when(
+            stands_in("b", "a", self.percent), F.col("a")
+        ).when(stands_in("a", "b", self.percent), F.col("b"))
+        return self.staging.save(counted.where(linked).select("a", "b", spared.alias("spared")), label)
+
+
+def _reach(n: Column, n_common: Column, percent: int) -> Column:
+    """The larger, the more sets a set is linked to with which it shares common n-grams alone."""
+    return (100 + percent) * n_common - percent * n
+
+
+def stands_in(z: str, x: str, percent: int) -> Column:
+    """Whether the class z is linked to every class that x is linked to by common n-grams alone.
+
+    Let x have c common n-grams, d of which z has not. If x shares with y common n-grams alone, z shares
+    with y at least as many less d. As the link needs (100 + percent) * overlap >= percent * (n_x + n_y),
+    that is enough for z if (100 + percent) * d <= percent * (n_x - n_z). The reach of z is then that of x at least;
+    if it is the same, the smaller node stands in, so no two stand in for each other, by however many steps.
+    """
+    n_z, n_x, c_z, c_x = (F.col(f"{name}_{side}") for name in ("n", "n_common") for side in (z, x))
+    missing = (100 + percent) * (c_x - F.col("both_common"))
+    first = (_reach(n_z, c_z, percent) > _reach(n_x, c_x, percent)) | (F.col(z) < F.col(x))
+    return (missing <= percent * (n_x - n_z)) & first
 
 
 #: Sizes of sets are told apart in so many levels between a set and the smallest it can be linked to.
@@ -500,6 +548,25 @@ def fitting_pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def stand_in_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each set with the one of its component that is most likely to stand in for it.
+
+    Of the sets that share a common n-gram within a component, that of the largest reach among those that are no
+    larger; a set is paired with the one that it finds so at most of its n-grams.
+    """
+    lack = -_reach(F.col("n"), F.col("n") - F.col("rare"), percent)
+    known = rows.where("place >= rare").withColumn("lack", lack)
+    best = known.groupBy("gram", "component", "n").agg(F.min(F.struct("lack", F.col("node").alias("z"))).alias("first"))
+    up_to = Window.partitionBy("gram", "component").orderBy("n").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    best = best.withColumn("first", F.min("first").over(up_to))
+    met = known.select("gram", "component", "n", F.col("node").alias("x")).join(best, ["gram", "component", "n"])
+    times = met.select("x", "first.*").where("x <> z").groupBy("x", "lack", "z").agg((-F.count("*")).alias("turned"))
+    chosen = times.groupBy("x").agg(F.min(F.struct("turned", "lack", "z")).alias("most")).select("x", "most.z")
+    return chosen.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     staging: Staging,
@@ -522,9 +589,12 @@ def near_groups(
     2. The n-gram order is cut into fragments. Linked sets share an n-gram in their
        prefixes. Classes of different components that share one of at most COMMON classes are paired if they
        fit by size and place; of one that more share, the class in which it stands foremost is
-       paired with those that fit.
+       paired with those that fit. Beside, classes are compared with one of their own component that
+       may stand in for them.
     3. All classes of the components that are left, if they share an n-gram of many prefixes and
-       fit by size and place, are paired, so that no link between groups is lost.
+       fit by size and place, are paired, so that no link between groups is lost. By common n-grams
+       a class is left out if one that it is linked to has every link that it can have by them (`stands_in`):
+       of the many near copies of one text, that text meets the others for all.
     Pairs whose parity bits do not rule them out are verified exactly, fragment by fragment.
 
     This gives groups and not links: neither linked pairs nor their overlaps or number. Pairs of
@@ -575,11 +645,16 @@ def near_groups(
 
     shared = between(links, "first")
     few, many = few_pairs(shared.where("not many"), percent), star_pairs(shared.where("many"), percent)
-    chosen_pairs = staging.save(few.unionByName(many).distinct(), "chosen-pairs")
-    links = links.unionByName(verifier.links(chosen_pairs, "chosen-links"))
-
-    shared = between(links, "second")
-    rest = fitting_pairs(shared.where("many"), percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
+    alike = stand_in_pairs(shared.where("many"), percent)
+    chosen_pairs = staging.save(few.unionByName(many).unionByName(alike).distinct(), "chosen-pairs")
+    chosen = verifier.links(chosen_pairs, "chosen-links", common, fragments)
+    links = links.unionByName(chosen)
+
+    # A link by an n-gram that is not common is no stand-in's, so it is looked for in any case.
+    spared = chosen.where("spared is not null").select(F.col("spared").alias("node"), F.lit(True).alias("left_out"))
+    shared = between(links, "second").where("many").join(spared.distinct(), "node", "left")
+    meeting = staging.save(shared.where("left_out is null or place < rare").drop("left_out"), "meeting")
+    rest = fitting_pairs(meeting, percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
     rest = staging.save(rest, "rest-pairs")
     links = links.unionByName(verifier.links(rest, "rest-links"))
 

@@ -165,20 +165,23 @@ def test_pairs_grow_with_the_sharers_of_a_passage_and_not_with_their_square(spar
     assert counts[1] <= 2 * counts[0] + 40
 
 
+def two_groups(rng, n):
+    """Two texts that share a passage, each followed by n near copies; the two are not linked."""
+    passage, out = words(rng, 100, 10**6), []
+    for _ in range(2):
+        base = passage + words(rng, 50, 10**6)
+        out.append(" ".join(base))
+        for _ in range(n):
+            at = rng.randrange(len(base))
+            out.append(" ".join([*base[:at], f"e{rng.random()}", *base[at + 1 :]]))
+    return out
+
+
 def test_two_groups_of_near_copies_meet_by_few_of_their_texts(spark, monkeypatch):
-    """All texts share a passage; the copies of either text are linked, the two groups are not."""
     monkeypatch.setattr(jaccard, "COMMON", 4)
-    rng = random.Random(11)
-    passage, ends = words(rng, 100, 10**6), [words(rng, 50, 10**6) for _ in range(2)]
     counts = []
     for n in (30, 60):
-        texts = []
-        for base in (passage + end for end in ends):
-            texts.append(" ".join(base))
-            for _ in range(n):
-                at = rng.randrange(len(base))
-                texts.append(" ".join([*base[:at], f"e{rng.random()}", *base[at + 1 :]]))
-        staging = Counting(spark)
+        texts, staging = two_groups(random.Random(11), n), Counting(spark)
         found = jaccard.near_groups(make_docs(spark, texts), staging).collect()
         assert [(r.n_shingles, r.component_id) for r in sorted(found, key=lambda r: r.doc_id)] == brute_force(texts)
         assert {r.component_id for r in found} == {0, n + 1}

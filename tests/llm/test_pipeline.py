@@ -1,15 +1,17 @@
 """The pipeline's stages, each against what is known of its own input."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from stagepath.llm import packing, tokens
+from stagepath.llm import jaccard, packing, tokens
 from stagepath.staging import Staging
 from tests.conftest import TESTDATA
 from tests.llm.helpers import make_docs
-from tests.llm.test_jaccard import grams
+from tests.llm.test_jaccard import Counting, grams, two_groups
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 
@@ -85,3 +87,16 @@ def test_stages_take_odd_and_empty_tables(spark, name):
     odd = make_docs(spark, [None, "", "a b c", "a b c"], [None, "s", None, "s"], ids=[None, 1, 2, 2])
     stage(spark, odd, SF_DIR).collect()
     assert stage(spark, make_docs(spark, []), SF_DIR).collect() == []
+
+
+def test_near_duplicates_pairs_grow_with_large_groups_and_not_with_their_square(spark, monkeypatch):
+    """Of two large groups of near copies that share a passage one text each stays."""
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    counts = []
+    for n in (30, 60):
+        staging = Counting(spark)
+        monkeypatch.setattr(corpus_pipeline, "held_staging", lambda _, held=staging: held)
+        kept = corpus_pipeline.near_duplicates(spark, make_docs(spark, two_groups(random.Random(12), n)), SF_DIR)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, n + 1]
+        counts.append(staging.pairs)
+    assert counts[1] <= 2 * counts[0] + 40

@@ -34,28 +34,36 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(own).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node at most, and that one on none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(0).alias("up")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(1).alias("up"))
+    )
+    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count_if(F.col("up") == 0).alias("down"))
+    return met.where("up > 1 or up = 1 and down > 0").isEmpty()
+
+
+def as_links(member: DataFrame) -> DataFrame:
+    """Links (a, b) of each node to its component's smallest one, in place of those that it was found by."""
+    return member.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def components(links: DataFrame, staging: Staging, label: str = "component") -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is its smallest node.
 
     Alternates large stars and small stars until every node hangs on its component's smallest
-    one, in a number of rounds that grows with the logarithm of the longest path. A
-    task sends one minimum per node, and the joins with a node of very many links may be
-    split. Each round is written, so a lost executor costs no more than its part.
+    one, in a number of rounds that grows with the logarithm of the longest path; links that are
+    stars already take none. A task sends one minimum per node, and the joins with a node of very many
+    links may be split. Each round is written, so a lost executor costs no more than its part.
     Links of a node to itself, repeated links and empty tables are allowed.
     """
     state = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     state = staging.save(state.distinct(), f"{label}-links")
-    mark, turn = None, 0
-    while True:
+    turn = 0
+    while not _are_stars(state):
         stars = staging.save(_large_star(state), f"{label}-large-{turn}")
         state = staging.save(_small_star(stars), f"{label}-small-{turn}")
         turn += 1
-        found = state.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if found == mark:
-            break
-        mark = found
     hung = state.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return hung.unionByName(roots)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagepath.llm.common import ALL, in_one, ship_code, shuffle_partitions
-from stagepath.llm.components import components
+from stagepath.llm.components import as_links, components
 from stagepath.staging import Staging
 
 WORDS = 5
@@ -343,9 +343,9 @@ class _Verifier:
         self.docs, self.classes, self.staging = docs, classes, staging
         self.key, self.text, self.words, self.percent = key, text, words, percent
 
-    def _fragments(self, nodes: DataFrame, common: Broadcast | None, fragments: int) -> DataFrame:
+    def _fragments(self, nodes: DataFrame, common: Broadcast | None, fragments: int) -> DataFrame | None:
         """(node, n, n_common, cut, grams, frequent) of the given classes, from one document of each;
-        `grams` are those that are not common, all of them if none are named.
+        `grams` are those that are not common, all of them if none are named. None if no classes are given.
 
         A filter of fixed size, one bit per hashed doc_id, spares taking most other texts
         apart; what it lets through beside is joined with no pair.
@@ -354,8 +354,11 @@ class _Verifier:
         words = wanted.groupBy((F.col("place") / 32768).cast("int").alias("word")).agg(
             F.bitmap_construct_agg((F.col("place") % 32768).cast("int")).alias("bits")
         )
+        found = words.collect()  # at most 256 rows of 4 kB
+        if not found:
+            return None
         bits = np.zeros(FILTER_PLACES // 8, np.uint8)
-        for row in words.collect():  # at most 256 rows of 4 kB
+        for row in found:
             bits[row.word * 4096 : row.word * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
         spark = self.docs.sparkSession
         chosen = spark.sparkContext.broadcast(bits)
@@ -420,7 +423,10 @@ class _Verifier:
         """
         pairs = self.staging.save(self._possible(pairs), f"{label}-possible")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        cuts = self.staging.save(self._fragments(nodes, common, fragments), f"{label}-cuts")
+        cuts = self._fragments(nodes, common, fragments)
+        if cuts is None:
+            return pairs.withColumn("spared", F.lit(None).cast("long"))  # none
+        cuts = self.staging.save(cuts, f"{label}-cuts")
 
         def side(name: str) -> DataFrame:
             renamed = (F.col(c).alias(f"{c}_{name}") for c in ("n", "n_common", "grams", "frequent"))
@@ -629,10 +635,9 @@ def near_groups(
     common = spark.sparkContext.broadcast(common_marks(texts, fragments, staging, words))
     postings = staging.save(shared_prefixes(texts, common, fragments, words, percent), "postings")
 
-    def between(found: DataFrame, label: str) -> DataFrame:
+    def between(member: DataFrame, label: str) -> DataFrame:
         """The postings of n-grams that two components or more share, with component and size, and
         whether there are many of the n-gram."""
-        member = components(found, staging, f"{label}-of")
         sized = classes.select("node", "n").join(member, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
@@ -643,22 +648,23 @@ def near_groups(
         ).where("low < high").select("gram", "many")
         return staging.save(placed.join(mixed, "gram"), f"{label}-between")
 
-    shared = between(links, "first")
+    member = components(links, staging, "first-of")
+    shared = between(member, "first")
     few, many = few_pairs(shared.where("not many"), percent), star_pairs(shared.where("many"), percent)
     alike = stand_in_pairs(shared.where("many"), percent)
     chosen_pairs = staging.save(few.unionByName(many).unionByName(alike).distinct(), "chosen-pairs")
     chosen = verifier.links(chosen_pairs, "chosen-links", common, fragments)
-    links = links.unionByName(chosen)
+    # Each time the components so far stand for the links that they were found by.
+    member = components(as_links(member).unionByName(chosen.drop("spared")), staging, "second-of")
 
     # A link by an n-gram that is not common is no stand-in's, so it is looked for in any case.
     spared = chosen.where("spared is not null").select(F.col("spared").alias("node"), F.lit(True).alias("left_out"))
-    shared = between(links, "second").where("many").join(spared.distinct(), "node", "left")
+    shared = between(member, "second").where("many").join(spared.distinct(), "node", "left")
     meeting = staging.save(shared.where("left_out is null or place < rare").drop("left_out"), "meeting")
     rest = fitting_pairs(meeting, percent).join(stars.unionByName(chosen_pairs), ["a", "b"], "left_anti")
     rest = staging.save(rest, "rest-pairs")
-    links = links.unionByName(verifier.links(rest, "rest-links"))
-
-    member = components(links, staging, "all")
+    rest_links = verifier.links(rest, "rest-links").drop("spared")
+    member = components(as_links(member).unionByName(rest_links), staging, "all")
     grouped = classes.select("node", "doc_id").join(member, "node").groupBy("component").agg(
         F.min("doc_id").alias("_least")
     )

@@ -136,6 +136,26 @@ def test_components_match_brute_force(spark, staging_factory, links):
     assert found == least
 
 
+@pytest.mark.parametrize(
+    "links, rounds",
+    [([], 0), ([(1, 2), (3, 1), (1, 4), (7, 8), (8, 7), (5, 5)], 0), ([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1)],
+)
+def test_components_stop_as_soon_as_they_are_stars(spark, staging, links, rounds):
+    """Each round is two tables and some dozen shuffles that the driver plans and keeps record of."""
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.component for r in components.components(frame, staging).collect()}
+    assert set(found) == {n for pair in links if pair[0] != pair[1] for n in pair}
+    assert sum(turns for label, turns in staging._saved.items() if "-large-" in label) == rounds
+
+
+def test_links_between_groups_alone_are_followed_anew(spark, staging):
+    """No round where nothing is linked, and no text is taken apart again where no pair is left."""
+    texts = [" ".join(f"w{n}_{i}" for i in range(30)) for n in range(6)]
+    found = jaccard.near_groups(make_docs(spark, [*texts, texts[0]]), staging).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [*((n, n) for n in range(6)), (6, 0)]
+    assert not [label for label in staging._saved if "-large-" in label or label.endswith("-cuts")]
+
+
 class Counting(Staging):
     """Keeps the number of rows of every table of pairs."""
 

@@ -73,7 +73,7 @@ def funnel_totals(mart: DataFrame) -> DataFrame:
 
 def stage_row_checks(steps: dict[str, dict[str, int]], mart: DataFrame) -> DataFrame:
     """Rows and conversions after each step of the build, as measured when the step was written,
-    and those of the mart as it is stored.
+    and those of the mart as it is stored. The conversions of a mart without rows are NULL.
 
     A step that loses or doubles pairs has another total than the step before.
     """
@@ -83,8 +83,8 @@ def stage_row_checks(steps: dict[str, dict[str, int]], mart: DataFrame) -> DataF
     )
     stored = mart.agg(
         F.count("*").alias("total"),
-        F.coalesce(F.sum("cart_flag"), F.lit(0)).alias("cart_count"),
-        F.coalesce(F.sum("purchase_flag"), F.lit(0)).alias("purchase_count"),
+        F.sum("cart_flag").alias("cart_count"),
+        F.sum("purchase_flag").alias("purchase_count"),
     )
     return measured.unionByName(stored.select(F.lit("mart").alias("stage"), "*"))
 

@@ -232,6 +232,13 @@ def test_stage_row_checks_show_a_lost_pair(edge_events, staging, monkeypatch, lo
     assert rows["purchase"].purchase_count == 2 and rows["mart"].purchase_count == 2 - (lost == "mart")
 
 
+def test_row_checks_of_an_empty_mart_have_no_sums(spark, staging):
+    mart = build_enriched_mart(make_events(spark, []), staging)
+    rows = {r.stage: r for r in conversion.stage_row_checks(step_counts(staging), mart).collect()}
+    assert rows["mart"].total == 0
+    assert rows["mart"].cart_count is None and rows["mart"].purchase_count is None
+
+
 def test_steps_are_measured_as_they_are_written(spark, staging):
     """No job but the writing of the steps goes over the log; an empty log counts 0."""
     build_enriched_mart(make_events(spark, []), staging)

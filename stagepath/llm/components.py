@@ -17,12 +17,10 @@ def _smallest(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to the smallest of them and itself."""
+    """Links each node's larger neighbours to the smallest of them and itself, each as often as it finds so."""
     both = _both_ways(links)
     least = _smallest(both).withColumn("least", F.least("least", "a"))
-    return (
-        both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b").distinct()
-    )
+    return both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -35,12 +33,14 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _are_stars(links: DataFrame) -> bool:
-    """Whether every node hangs on one smaller node at most, and that one on none."""
-    ends = links.select(F.col("a").alias("node"), F.lit(0).alias("up")).unionByName(
-        links.select(F.col("b").alias("node"), F.lit(1).alias("up"))
+    """Whether every node hangs on one smaller node at most, and that one on none; links may be repeated."""
+    ends = links.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(
+        links.select(F.col("a").alias("node"), F.lit(None).alias("up"))
+    )
+    met = ends.groupBy("node").agg(
+        F.min("up").alias("least"), F.max("up").alias("most"), F.count_if(F.col("up").isNull()).alias("down")
     )
-    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count_if(F.col("up") == 0).alias("down"))
-    return met.where("up > 1 or up = 1 and down > 0").isEmpty()
+    return met.where("least < most or least is not null and down > 0").isEmpty()
 
 
 def as_links(member: DataFrame) -> DataFrame:
@@ -53,17 +53,24 @@ def components(links: DataFrame, staging: Staging, label: str = "component") ->
 
     Alternates large stars and small stars until every node hangs on its component's smallest
     one, in a number of rounds that grows with the logarithm of the longest path; links that are
-    stars already take none. A task sends one minimum per node, and the joins with a node of very many
-    links may be split. Each round is written, so a lost executor costs no more than its part.
-    Links of a node to itself, repeated links and empty tables are allowed.
+    stars already take none, and two stars that are linked take a large star more than one round. A task
+    sends one minimum per node, and the joins with a node of very many links may be split. Each
+    half of a round is written, so a lost executor costs no more than its part.
+    Links of a node to itself, repeated links and empty tables are allowed. The links are read
+    several times, so they should be stored.
     """
     state = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    state = staging.save(state.distinct(), f"{label}-links")
-    turn = 0
-    while not _are_stars(state):
-        stars = staging.save(_large_star(state), f"{label}-large-{turn}")
-        state = staging.save(_small_star(stars), f"{label}-small-{turn}")
-        turn += 1
+    done, turn = _are_stars(state), 0
+    if done:
+        state = staging.save(state.distinct(), f"{label}-links")
+    while not done:
+        large = _large_star(state)
+        # Repeats of the first one do the small star no harm; a later one may be the last.
+        state = staging.save(large.distinct() if turn else large, f"{label}-large-{turn}")
+        done = turn > 0 and _are_stars(state)
+        if not done:
+            state = staging.save(_small_star(state), f"{label}-small-{turn}")
+            done, turn = _are_stars(state), turn + 1
     hung = state.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return hung.unionByName(roots)

@@ -253,12 +253,14 @@ def common_marks(texts: DataFrame, fragments: int, staging: Staging, words: int)
         texts.mapInArrow(count, "fragment long, once binary, again binary, counts binary")
         .groupBy("fragment").applyInArrow(add_up, "mark long, n long"),
         "common",
+        measures={"marks": F.count("*")},
     )
-    power = F.floor(F.log2("n")).cast("int")
-    sizes = {r.power: r.n for r in common.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
     least = 0
-    while sum(n for power, n in sizes.items() if power >= least) > MAX_COMMON:
-        least += 1
+    if staging.measured["common"]["marks"] > MAX_COMMON:
+        power = F.floor(F.log2("n")).cast("int")
+        sizes = {r.power: r.n for r in common.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+        while sum(n for power, n in sizes.items() if power >= least) > MAX_COMMON:
+            least += 1
     kept = common.where(F.col("n") >= 2**least).select("mark").toArrow()["mark"].to_numpy()
     return np.sort(kept.astype(np.uint64))
 
@@ -343,14 +345,14 @@ class _Verifier:
         self.docs, self.classes, self.staging = docs, classes, staging
         self.key, self.text, self.words, self.percent = key, text, words, percent
 
-    def _fragments(self, nodes: DataFrame, common: Broadcast | None, fragments: int) -> DataFrame | None:
-        """(node, n, n_common, cut, grams, frequent) of the given classes, from one document of each;
-        `grams` are those that are not common, all of them if none are named. None if no classes are given.
+    def _fragments(self, chosen_docs: DataFrame, common: Broadcast | None, fragments: int) -> DataFrame | None:
+        """(node, n, n_common, cut, grams, frequent) of the classes of the documents with the given `doc_id`;
+        `grams` are those that are not common, all of them if none are named. None if no documents are given.
 
         A filter of fixed size, one bit per hashed doc_id, spares taking most other texts
         apart; what it lets through beside is joined with no pair.
         """
-        wanted = self.classes.join(nodes, "node").select(_place(F.col("doc_id")).alias("place"))
+        wanted = chosen_docs.select(_place(F.col("doc_id")).alias("place"))
         words = wanted.groupBy((F.col("place") / 32768).cast("int").alias("word")).agg(
             F.bitmap_construct_agg((F.col("place") % 32768).cast("int")).alias("bits")
         )
@@ -394,7 +396,8 @@ class _Verifier:
         )
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Leaves out pairs whose parity bits show that they are too different."""
+        """(a, b, doc_a, doc_b): the pairs, but for those whose parity bits show that they are too different,
+        with a document of each."""
         percent = self.percent
 
         @F.pandas_udf("boolean")
@@ -406,11 +409,12 @@ class _Verifier:
 
         def side(name: str) -> DataFrame:
             return self.classes.select(
-                F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")
+                F.col("node").alias(name), F.col("doc_id").alias(f"doc_{name}"),
+                F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"),
             )
 
         sized = pairs.join(side("b"), "b").join(side("a"), "a")
-        return sized.where(possible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+        return sized.where(possible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b", "doc_a", "doc_b")
 
     def links(
         self, pairs: DataFrame, label: str, common: Broadcast | None = None, fragments: int = 1
@@ -421,9 +425,9 @@ class _Verifier:
         Each fragment's overlap is counted by itself and the counts are summed per pair.
         Repeated documents give the same count again, of which the largest is taken.
         """
-        pairs = self.staging.save(self._possible(pairs), f"{label}-possible")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        cuts = self._fragments(nodes, common, fragments)
+        possible = self.staging.save(self._possible(pairs), f"{label}-possible")
+        pairs = possible.select("a", "b")
+        cuts = self._fragments(possible.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")), common, fragments)
         if cuts is None:
             return pairs.withColumn("spared", F.lit(None).cast("long"))  # none
         cuts = self.staging.save(cuts, f"{label}-cuts")
@@ -609,7 +613,7 @@ def near_groups(
     """
     spark = docs.sparkSession
     ship_code(spark)
-    stored = staging.save(sketches(docs, key, text, words), "sketches")
+    stored = staging.save(sketches(docs, key, text, words), "sketches", measures={"grams": F.sum("n")})
     classes = staging.save(
         stored.where("n > 0").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.max("n").alias("n"),
@@ -628,7 +632,7 @@ def near_groups(
     stars = staging.save(stars, "star-pairs")
     links = verifier.links(stars, "star-links")
 
-    total = stored.agg(F.sum("n")).first()[0] or 0
+    total = staging.measured["sketches"]["grams"]
     least = max(shuffle_partitions(spark), -(-total // FRAGMENT_GRAMS))
     fragments = 1 << (least - 1).bit_length()
     texts = docs.select(text)
@@ -646,10 +650,10 @@ def near_groups(
             F.min("component").alias("low"), F.max("component").alias("high"),
             (F.count("*") > COMMON).alias("many"),
         ).where("low < high").select("gram", "many")
-        return staging.save(placed.join(mixed, "gram"), f"{label}-between")
+        return placed.join(mixed, "gram")
 
     member = components(links, staging, "first-of")
-    shared = between(member, "first")
+    shared = staging.save(between(member, "first"), "first-between")
     few, many = few_pairs(shared.where("not many"), percent), star_pairs(shared.where("many"), percent)
     alike = stand_in_pairs(shared.where("many"), percent)
     chosen_pairs = staging.save(few.unionByName(many).unionByName(alike).distinct(), "chosen-pairs")

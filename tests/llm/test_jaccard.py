@@ -148,6 +148,21 @@ def test_components_stop_as_soon_as_they_are_stars(spark, staging, links, rounds
     assert sum(turns for label, turns in staging._saved.items() if "-large-" in label) == rounds
 
 
+def test_linked_stars_take_a_large_star_after_their_round(spark, staging):
+    """No second small star, nor a table of the links themselves."""
+    links = [(1, 5), (1, 6), (2, 7), (2, 8), (6, 7), (7, 6)]
+    found = components.components(spark.createDataFrame(links, "a long, b long"), staging).collect()
+    assert sorted((r.node, r.component) for r in found) == [(n, 1) for n in (1, 2, 5, 6, 7, 8)]
+    assert set(staging._saved) == {"component-large-0", "component-small-0", "component-large-1"}
+
+
+def test_linked_groups_take_no_table_that_is_read_once(spark, staging):
+    """The driver keeps record of each query, so none only writes what the next one can read by itself."""
+    found = jaccard.near_groups(make_docs(spark, two_groups(random.Random(3), 8)), staging).collect()
+    assert {r.component_id for r in found} == {0, 9}
+    assert not {"first-of-links", "second-between"} & set(staging._saved)
+
+
 def test_links_between_groups_alone_are_followed_anew(spark, staging):
     """No round where nothing is linked, and no text is taken apart again where no pair is left."""
     texts = [" ".join(f"w{n}_{i}" for i in range(30)) for n in range(6)]
